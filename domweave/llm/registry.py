@@ -1,8 +1,9 @@
 """The queries of the training-data operators, and SQL for those that SQL can express."""
 
-from domweave.llm import line_dedup, mixing, packing
+from domweave.llm import line_dedup, mixing, packing, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_mixing": mixing.op10_mixing,
