@@ -1,10 +1,11 @@
 """The queries of the training-data operators, and SQL for those that SQL can express."""
 
-from domweave.llm import line_dedup, mixing, packing, simhash, toxicity
+from domweave.llm import line_dedup, mixing, packing, simhash, substring_dedup, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
+    "op7_substring_dedup": substring_dedup.op7_substring_dedup,
     "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_mixing": mixing.op10_mixing,
