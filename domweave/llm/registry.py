@@ -1,10 +1,12 @@
 """The queries of the training-data operators, and SQL for those that SQL can express."""
 
-from domweave.llm import line_dedup, mixing, packing, simhash, substring_dedup, toxicity
+from domweave.llm import compression, line_dedup, mixing, packing, pii, simhash, substring_dedup, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
+    "op3_pii": pii.op3_pii,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
+    "op5_compression_bands": compression.op5_compression_bands,
     "op7_substring_dedup": substring_dedup.op7_substring_dedup,
     "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
     "op9_line_dedup": line_dedup.op9_line_dedup,
