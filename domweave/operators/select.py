@@ -13,7 +13,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache
 
-from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -228,8 +228,8 @@ def check_pattern(pattern: str) -> str:
     if session is not None:
         try:
             session._jvm.java.util.regex.Pattern.compile(checked)
-        except Py4JJavaError as e:
-            raise SelectorError(f"{pattern!r}: {e.java_exception.getMessage()}") from e
+        except IllegalArgumentException as e:
+            raise SelectorError(f"{pattern!r}: {e}") from e
     return checked
 
 
