@@ -60,3 +60,11 @@ def unit_hash(column: str | Column) -> Column:
     value = F.col(column) if isinstance(column, str) else column
     digest = F.md5(F.coalesce(value.cast("string"), F.lit("")).cast("binary"))
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(float(2**32))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with underscores after it until no column of the frame has it, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

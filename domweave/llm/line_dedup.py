@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from domweave.llm.common import new_path, shuffle_partitions, spread, written
+from domweave.llm.common import new_path, shuffle_partitions, spread, unused, written
 
 _KEY = ["h1", "h2"]
 
@@ -115,12 +115,13 @@ def dedup_lines(docs: DataFrame, batches: int = 6, fanout: int = 3) -> DataFrame
     document, so that equal lines at the same number stay in each of them; an
     empty table gives an empty table.
     """
+    id_, kept, new = (unused(docs, c) for c in ("__keep_id", "__keep", "__text"))
     keep = first_positions(docs.select("doc_id", "text"), batches, fanout)
-    keep = keep.groupBy(F.col("doc_id").alias("__keep_id")).agg(F.collect_set("line_no").alias("__keep"))
-    joined = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__keep_id")), "left")
-    text = _rebuilt(F.col("text"), F.col("__keep"))
-    rest = [F.length("__text").cast("long").alias("n_chars") if c == "n_chars" else F.col("__text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
-    return joined.withColumn("__text", text).select(*rest)
+    keep = keep.groupBy(F.col("doc_id").alias(id_)).agg(F.collect_set("line_no").alias(kept))
+    joined = docs.join(keep, F.col("doc_id").eqNullSafe(F.col(id_)), "left")
+    text = _rebuilt(F.col("text"), F.col(kept))
+    rest = [F.length(new).cast("long").alias("n_chars") if c == "n_chars" else F.col(new).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    return joined.withColumn(new, text).select(*rest)
 
 
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:

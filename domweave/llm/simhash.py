@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from domweave.llm.common import spread, written
+from domweave.llm.common import spread, unused, written
 
 #: Fingerprints this far apart at most are near-duplicates, of 64 bits; so must be the
 #: other 64 bits by twice as much, which takes out the pairs that agree by chance.
@@ -170,11 +170,12 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     All columns are kept. Of rows that share a doc_id the one with the
     smallest text stays, and rows with a null doc_id all do.
     """
-    gone = duplicates(docs, radius).select(F.col("doc_id").alias("__gone"))
-    left = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
-    order = F.struct(F.coalesce(F.col("text"), F.lit("")).alias("__text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    gone_id = unused(docs, "__gone")
+    gone = duplicates(docs, radius).select(F.col("doc_id").alias(gone_id))
+    left = docs.join(gone, F.col("doc_id") == F.col(gone_id), "left_anti")
+    order = F.struct(F.coalesce(F.col("text"), F.lit("")).alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     unnamed = left.where("doc_id IS NULL")
-    one = left.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).agg(F.min(order).alias("__first")).select("__first.__row.*")
+    one = left.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("id")).agg(F.min(order).alias("first")).select("first.row.*")
     return one.unionByName(unnamed)
 
 
