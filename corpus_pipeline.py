@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from domweave.llm.common import new_path
+from domweave.llm.common import new_path, unused
 from domweave.llm.line_dedup import dedup_lines
 from domweave.llm.mixing import mix_sources
 from domweave.llm.packing import pack_documents
@@ -30,8 +30,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each line once, at its smallest (doc_id, line number). A document that had lines and has none left goes; null and blank texts stay."""
     blank = " \t\r\n"
     had = F.coalesce(F.translate("text", blank, "") != "", F.lit(False))
-    left = dedup_lines(docs.withColumn("__had", had))
-    return left.where(~F.col("__had") | (F.translate("text", blank, "") != "")).drop("__had")
+    mark = unused(docs, "__had")
+    left = dedup_lines(docs.withColumn(mark, had))
+    return left.where(~F.col(mark) | (F.translate("text", blank, "") != "")).drop(mark)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,11 +45,12 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null source is a source. Rows that share a doc_id and source are copied alike.
     """
-    copies = mix_sources(docs).groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source")).agg(F.max("copies").alias("__copies"))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source"))
-    joined = docs.join(copies.where("__copies > 0"), same)
-    each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))).alias("__copy")
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], each).drop("__copy")
+    id_, source, number, copy = (unused(docs, c) for c in ("__id", "__source", "__copies", "__copy"))
+    copies = mix_sources(docs).groupBy(F.col("doc_id").alias(id_), F.col("source").alias(source)).agg(F.max("copies").alias(number))
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & F.col("source").eqNullSafe(F.col(source))
+    joined = docs.join(copies.where(F.col(number) > 0), same)
+    each = F.explode(F.sequence(F.lit(1).cast("long"), F.col(number))).alias(copy)
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], each).drop(copy)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
