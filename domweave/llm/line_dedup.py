@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from domweave.llm.common import new_path, shuffle_partitions, spread, unused, written
 
@@ -87,7 +88,7 @@ def first_positions(docs: DataFrame, batches: int = 6, fanout: int = 3) -> DataF
     return runs.contents()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())  # not a string, which needs a session to be read when the module is imported
 def _rebuilt(texts: pd.Series, keeps: pd.Series) -> pd.Series:
     out = []
     for text, keep in zip(texts, keeps):
