@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -80,7 +81,7 @@ def first_positions(docs: DataFrame, batches: int = 6, fanout: int = 3) -> DataF
     ids = docs.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
     lo, hi = (0, 0) if ids is None or ids.lo is None else (ids.lo, ids.hi)
     span = (F.col("doc_id").cast("double") - F.lit(float(lo))) / F.lit(float(max(1, hi - lo)))
-    batch = F.coalesce(F.least(F.floor(span * batches), F.lit(batches - 1)), F.lit(0)).cast("int")
+    batch = F.least(F.coalesce(F.floor(span * batches), F.lit(0)), F.lit(batches - 1)).cast("int")  # least passes over nulls
     hashes = written(line_hashes(docs).withColumn("batch", batch), "lines", "batch")
     runs = SortedRuns(hashes.select("h1", "h2", "doc_id", "line_no"), fanout)
     for b in range(batches):
@@ -96,7 +97,8 @@ def _rebuilt(texts: pd.Series, keeps: pd.Series) -> pd.Series:
             out.append(None)
             continue
         kept = set() if keep is None else set(keep.tolist())
-        out.append("\n".join([x for i, x in enumerate(text.split("\n")) if i in kept or not x.strip(" \t\r")]))
+        lines = enumerate(text.split("\n"))
+        out.append("\n".join([x for i, x in lines if not x.strip(" \t\r") or i << 32 | xxhash.xxh64_intdigest(x, 42) & 0xFFFFFFFF in kept]))
     return pd.Series(out, dtype=object)
 
 
@@ -113,12 +115,14 @@ def dedup_lines(docs: DataFrame, batches: int = 6, fanout: int = 3) -> DataFrame
     Defined results: null text stays null and has no lines; empty text stays
     empty; lines of only spaces, tabs or carriage returns always stay; a null
     doc_id counts as the smallest; rows that share a doc_id count as one
-    document, so that equal lines at the same number stay in each of them; an
+    document, in each of which a line stays if no smaller number has it; an
     empty table gives an empty table.
     """
     id_, kept, new = (unused(docs, c) for c in ("__keep_id", "__keep", "__text"))
     keep = first_positions(docs.select("doc_id", "text"), batches, fanout)
-    keep = keep.groupBy(F.col("doc_id").alias(id_)).agg(F.collect_set("line_no").alias(kept))
+    # the line number and half of the line's hash, as rows that share a doc_id may differ at a number
+    mark = F.shiftleft(F.col("line_no").cast("long"), 32).bitwiseOR(F.col("h1").bitwiseAND(F.lit(0xFFFFFFFF)))
+    keep = keep.groupBy(F.col("doc_id").alias(id_)).agg(F.collect_set(mark).alias(kept))
     joined = docs.join(keep, F.col("doc_id").eqNullSafe(F.col(id_)), "left")
     text = _rebuilt(F.col("text"), F.col(kept))
     rest = [F.length(new).cast("long").alias("n_chars") if c == "n_chars" else F.col(new).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
