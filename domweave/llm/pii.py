@@ -47,8 +47,10 @@ _MARK = r"[\[({<]"
 _END = r"[\])}>]"
 _AT = re.compile(rf"\s*{_MARK}\s*(?:at|@)\s*{_END}\s*", re.I)
 _DOT = re.compile(rf"\s*{_MARK}\s*(?:dot|\.)\s*{_END}\s*", re.I)
+#: Last parts of host names that bare words may end in: generic ones, and two letters that are no common word.
+_TOP = "(?:com|org|net|edu|gov|mil|int|info|biz|name|pro|app|dev|xyz|online|site|shop|store|tech|cloud|blog|example|test|invalid|(?!(?:am|an|as|at|be|by|do|go|he|if|in|is|it|la|my|no|of|on|or|so|to|up|we)\\b)[a-z]{2})"
 #: "name at host dot com": bare words are taken only with all their parts there.
-_BARE = re.compile(r"(?<![\w.])[a-z0-9_+\-]+(?:(?: dot |\.)[a-z0-9_+\-]+)*(?P<at> at | @ )[a-z0-9\-]+(?:(?: dot |\.)[a-z0-9\-]+)* dot [a-z]{2,12}\b", re.I)
+_BARE = re.compile(rf"(?<![\w.])[a-z0-9_+\-]+(?:(?: dot |\.)[a-z0-9_+\-]+)*(?P<at> at | @ )[a-z0-9\-]+(?:(?: dot |\.)[a-z0-9\-]+)* dot {_TOP}\b", re.I)
 _DISGUISED = re.compile(r"[\[({<]\s*(?:at|@|dot|\.)\s*[\])}>]| dot ", re.I)
 
 _EMAIL = re.compile(r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])")

@@ -141,7 +141,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> dict[str, f
         yield pa.RecordBatch.from_pydict({"model": [json.dumps(model)]})
 
     sample = training_sample(docs, labels, most)
-    return json.loads(sample.coalesce(1).mapInArrow(fitted, "model string").first().model)
+    found = sample.coalesce(1).mapInArrow(fitted, "model string").first()  # nothing where the sample has no partition
+    return json.loads(found.model) if found else {"": -20.0}
 
 
 def _probability(spark, model: dict[str, float]) -> Column:

@@ -198,12 +198,13 @@ def test_nearest(spark, block):
     rows = [(int(i), [float(v) for v in r], 1) for i, r in zip(ids, x)]
     rows += [rows[0], (None, [0.0] * 24, 1), (900, None, 1), (901, [], 1), (902, [float("nan")] * 24, 1), (903, [1.0] * 5, 1), (904, [None] * 24, None)]
     out = topk.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, rank int"), k=7, block_size=block).collect()
-    got = sorted((r.vec_id, r["rank"], r.neighbor_id, round(r.distance, 8)) for r in out)
-    want = []
+    got = {(r.vec_id, r["rank"]): (r.neighbor_id, r.distance) for r in out}
+    want = {}
     for i, r in zip(ids, x):
-        d = sorted((round(float(np.sqrt(((r - y) ** 2).sum())), 12), int(j)) for j, y in zip(ids, x) if j != i)
-        want += [(int(i), n + 1, j, round(dist, 8)) for n, (dist, j) in enumerate(d[:7])]
-    assert got == sorted(want)
+        d = sorted((float(np.sqrt(((r - y) ** 2).sum())), int(j)) for j, y in zip(ids, x) if j != i)
+        want |= {(int(i), n + 1): (j, dist) for n, (dist, j) in enumerate(d[:7])}
+    assert len(out) == len(got) and {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert all(v[1] == pytest.approx(want[k][1], rel=1e-9) for k, v in got.items())
 
 
 def test_nearest_of_few(spark):
