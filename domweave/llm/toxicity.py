@@ -20,6 +20,9 @@ SAMPLE = 2500
 #: A document whose probability reaches this is toxic; so is a sentence.
 THRESHOLD = 0.5
 
+#: The share of labels of either class that are taken to be wrong.
+NOISE = 0.05
+
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _WORD = re.compile(r"[^\W\d_]+")
 _PREFIXES = (4, 5, 6)
@@ -35,9 +38,10 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 150, least_documents
 
     A sentence's logit is the bias plus the weights of its words, each counted
     once; a document is toxic unless all its sentences aren't: P = 1 - prod(1 - p)
-    over its distinct sentences. The document's log-likelihood is maximised by
-    Adam with a proximal step for the L1 penalty, each class with half of the
-    weight.
+    over its distinct sentences. Labels are taken to be wrong at the rate
+    `NOISE`, so that a document without any reason for its label can't bend the
+    weights without bound. The likelihood of the labels is maximised by Adam with
+    a proximal step for the L1 penalty, each class with half of the weight.
     """
     bags = [{frozenset(_WORD.findall(s)) for s in _SENTENCE.findall(t.lower())} or {frozenset()} for t in texts]
     bags = [sorted(sorted(s) for s in bag) for bag in bags]
@@ -66,7 +70,9 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 150, least_documents
     for epoch in range(1, epochs + 1):
         z = bias + np.bincount(sentence, weights=w[index], minlength=len(size))
         a = np.maximum(np.bincount(document, weights=np.logaddexp(0, z), minlength=len(bags)), 1e-9)
-        of_a = share * np.where(y, -1 / np.expm1(np.minimum(a, 50)), 1.0)
+        none = np.exp(-a)  # the chance that no sentence is toxic
+        told = NOISE + (1 - 2 * NOISE) * (1 - none)
+        of_a = share * (1 - 2 * NOISE) * none * np.where(y, -1 / told, 1 / (1 - told))
         of_z = of_a[document] / (1 + np.exp(-np.maximum(z, -500)))
         gradient = np.append(np.bincount(index, weights=of_z[sentence], minlength=len(column)), of_z.sum())
         m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient**2
