@@ -1,5 +1,7 @@
 """Views, records, values, healing, change detection and crawling on small inputs."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -205,6 +207,7 @@ def test_sinks(spark, tmp_path):
         assert back.select("x", "y").first()[:] == ("a", "ü")
         sinks.write_one(df.first(), str(tmp_path / f"one.{kind}"), kind)
     assert (tmp_path / "one.csv").read_text(encoding="utf-8") == "x,y\na,ü\n" or (tmp_path / "one.csv").read_bytes() == "x,y\r\na,ü\r\n".encode()
+    assert sinks.write_array(df.union(df), str(tmp_path / "all.json")) == 2 and json.loads((tmp_path / "all.json").read_text(encoding="utf-8")) == [{"x": "a", "y": "ü"}] * 2
     with pytest.raises(ExportError):
         sinks.write_one({}, str(tmp_path / "none.parquet"), "parquet")
     with pytest.raises(ExportError):
