@@ -22,7 +22,7 @@ def test_pages(spark, pages):
         assert p.css("a").first().texts == ["NEXT"] and p.xpath("//span").first().texts == ["$9"] and p.regex("9").count() == 1
         assert p.title().first().title == "T" and p.links().first().links == ["http://s/b"] and p.attr("a", "href").first().href == "/b"
         assert [p.find_text("next").first().texts, p.before_text("next").first().texts] == [["NEXT"], ["$9"]]
-        assert s.page().nodes().count() == 8
+        assert s.page().nodes().count() == 9
 
 
 def test_dataset_heals(spark, pages, tmp_path):
