@@ -118,22 +118,21 @@ def auto_match(pages: DataFrame, fingerprints: DataFrame, selector: str, weights
     nothing scores above the threshold, node_id is null and `error` tells why.
     URLs are expected to be unique.
     """
-    column = F.col(dom)
-    seen = pages.select(F.col(url).alias("url"), column.alias("dom"), F.get(select(column, selector), F.lit(0))["node_id"].alias("hit"))
-    hits = seen.where("hit IS NOT NULL").select("url", F.col("hit").alias("node_id"), node_text(F.col("dom"), F.get("dom", F.col("hit"))).alias("text"), F.lit(1.0).alias("similarity_score"), F.lit(False).alias("healed"), F.lit(None).cast("string").alias("error"))
-    stored = latest(fingerprints.where(F.col("selector_used") == selector)).select(F.col("url").alias("f_url"), F.struct("tag", "text", "depth", "attributes", "class_list", "ancestor_path").alias("stored"))
-    lost = seen.where("hit IS NULL").join(stored, F.col("url").eqNullSafe(F.col("f_url")), "left")
-    # made within the page's row, so that the array itself isn't copied for every element
+    # one pass over the pages; only those without a hit carry their elements on, each made within the page's row
+    first = pages.select(F.col(url).alias("url"), F.col(dom).alias("dom"), F.get(select(dom, selector), F.lit(0))["node_id"].alias("hit"))
     candidates = F.transform("dom", lambda n: F.struct(n["node_id"].alias("node_id"), n["tag"].alias("tag"), n["attrs"].alias("attrs"), n["depth"].alias("depth"), node_text(F.col("dom"), n).alias("text"), ancestor_path(F.col("dom"), n).alias("path")))
-    each = lost.select("url", "stored", F.explode_outer(F.when(F.col("stored").isNotNull(), candidates)).alias("c")).select("url", "stored", "c.*")
+    seen = first.select("url", F.when(F.col("hit").isNotNull(), F.struct(F.col("hit").alias("node_id"), node_text(F.col("dom"), F.get("dom", F.col("hit"))).alias("text"))).alias("hit"), F.when(F.col("hit").isNull(), candidates).alias("candidates"))
+    stored = latest(fingerprints.where(F.col("selector_used") == selector)).select(F.col("url").alias("f_url"), F.struct("tag", "text", "depth", "attributes", "class_list", "ancestor_path").alias("stored"))
+    known = seen.join(stored, F.col("url").eqNullSafe(F.col("f_url")), "left")
+    each = known.select("url", "hit", "stored", F.explode_outer(F.when(F.col("stored").isNotNull(), F.col("candidates"))).alias("c")).select("url", "hit", "stored", "c.*")
     s = scores(F.col("tag"), F.col("text"), F.col("attrs"), F.col("path"), F.col("depth"), "stored")
-    scored = each.select("url", "node_id", "text", F.col("stored").isNotNull().alias("known"), *[v.alias(f"s_{k}") for k, v in s.items()])
+    scored = each.select("url", "hit", "node_id", "text", F.col("stored").isNotNull().alias("known"), *[v.alias(f"s_{k}") for k, v in s.items()])
     total = composite({k: F.col(f"s_{k}") for k in WEIGHTS}, weights)
-    best = scored.withColumn("total", total).groupBy("url").agg(F.max_by(F.struct("node_id", "text", "total"), F.struct("total", "node_id")).alias("b"), F.max("known").alias("known"))
-    good = F.col("b.total") > threshold
-    why = F.when(~F.col("known"), F.lit(f"no fingerprint of {selector!r}")).when(~F.coalesce(good, F.lit(False)), F.lit(f"nothing is like what {selector!r} selected"))
-    healed = best.select("url", F.when(good, F.col("b.node_id")).alias("node_id"), F.when(good, F.col("b.text")).alias("text"), F.when(good, F.col("b.total")).alias("similarity_score"), F.coalesce(good, F.lit(False)).alias("healed"), why.alias("error"))
-    return hits.unionByName(healed)
+    best = scored.withColumn("total", total).groupBy("url").agg(F.max_by(F.struct("node_id", "text", "total"), F.struct("total", "node_id")).alias("b"), F.max("known").alias("known"), F.max("hit").alias("hit"))
+    lost, good = F.col("hit").isNull(), F.coalesce(F.col("b.total") > threshold, F.lit(False))
+    why = F.when(lost & ~F.col("known"), F.lit(f"no fingerprint of {selector!r}")).when(lost & ~good, F.lit(f"nothing is like what {selector!r} selected"))
+    found = lambda name: F.when(~lost, F.col(f"hit.{name}")).when(good, F.col(f"b.{name}")).alias(name)
+    return best.select("url", found("node_id"), found("text"), F.when(~lost, 1.0).when(good, F.col("b.total")).alias("similarity_score"), (lost & good).alias("healed"), why.alias("error"))
 
 
 def refresh(pages: DataFrame, matched: DataFrame, selector: str, url: str = "url", dom: str = "dom") -> DataFrame:
