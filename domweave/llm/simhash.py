@@ -113,7 +113,8 @@ def near_pairs(prints: DataFrame, radius: int = RADIUS, pivots: int = PIVOTS) ->
     kept = [c for c in table.columns if c.startswith("t")]
     rows = table.select("key", "a", "b", *kept, F.explode(F.array(*meets)).alias("m")).select("key", "a", "b", *kept, "m.j", "m.meet")
     x, y = rows.alias("x"), rows.alias("y")
-    met = x.join(y, (F.col("x.meet") == F.col("y.meet")) & (F.col("x.key") < F.col("y.key")))
+    # both sides carry and join on the same columns, so that one shuffle of the rows serves both
+    met = x.join(y, (F.col("x.meet") == F.col("y.meet")) & (F.col("x.j") == F.col("y.j")) & (F.col("x.key") < F.col("y.key")))
     for k in range(pivots):
         at = [F.shiftright(F.col(f"{s}.t{k // 8}"), 7 * (k % 8)).bitwiseAND(F.lit(127)) for s in "xy"]
         met = met.where(F.abs(at[0] - at[1]) <= radius)
