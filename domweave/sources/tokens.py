@@ -11,7 +11,7 @@ import re
 from dataclasses import dataclass, field
 
 #: Elements that hold nothing, whether they are written self-closed or not.
-LEAVES = frozenset("area base br col embed hr img input link meta param source track wbr path rect circle line polygon polyline ellipse use stop image".split())
+LEAVES = frozenset("wbr track source param meta link input img hr embed col br base area".split()) | frozenset("circle ellipse image line path polygon polyline rect stop use".split())
 #: Elements whose content is one text up to their own end tag.
 VERBATIM = frozenset("script style xmp iframe noembed noframes title textarea".split())
 #: Elements inside which `<x/>` is a leaf.
