@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from domweave.functions.values import is_stock, number
 
 #: The kinds of change; layout changes are never found, the name is kept.
-KINDS = ("content", "price", "stock", "added", "removed", "layout")
+KINDS = ("added", "removed", "content", "stock", "price", "layout")
 _COLUMNS = ["change_type", "old_price", "new_price", "diff_pct", "in_stock", "diff"]
 
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_PAGE = """<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title> {name} </title><meta name="Keywords" content="{kind}"><meta property="og:description" content="{brand}"><link rel="stylesheet" href="/s.css"><link rel="icon" href="/i.png"><script src="j/{key}.js">var t = "<p>";</script></head><body><div id="main" class="part size{size}"><h1>{name}</h1><p>Price: <b>{price}</b> net</p><span class="stock">{stock}</span><img src="/img/{key}.png" alt="{name}"><img src="../x.png"><a href="/brand/{brand}">more</a><a href="//cdn.example/{key}">cdn</a><a name="end">end</a><hr><table><tr><th>key</th><th>value</th></tr><tr><td>size</td><td> {size} </td></tr><tbody><tr><td>type</td><td><i>{kind}</i></td></tr></tbody></table><table><thead><tr><th>a</th><th>b</th></tr></thead><tr><td>{key}</td></tr><tr></tr></table><form action="/buy" method="POST"><input name="q"><div><select name="n"></select></div><input></form><form><textarea name="note"></textarea></form></div></body></html>"""
-_REDESIGNED = """<html><body><div id="shell" class="part"><h2>{name}</h2><p>Only <b>today</b></p><div><em class="cost">{price}</em></div><span class="stock">{stock}</span></div></body></html>"""
+_PAGE = """<!DOCTYPE html><html dir="ltr" lang="en"><head><meta charset="utf-8"><title> {name} </title><meta name="Keywords" content="{kind}"><meta property="og:description" content="{brand}"><link href="/s.css" rel="stylesheet"><link href="/i.png" rel="icon"><script src="j/{key}.js">var t = "<p>";</script></head><body><div id="main" class="part size{size}"><h1>{name}</h1><p>Price: <b>{price}</b> net</p><span class="stock">{stock}</span><img src="/img/{key}.png" alt="{name}"><img src="../x.png"><a href="/brand/{brand}">more</a><a href="//cdn.example/{key}">cdn</a><a name="end">end</a><hr><table><tr><th>key</th><th>value</th></tr><tr><td>size</td><td> {size} </td></tr><tbody><tr><td>type</td><td><i>{kind}</i></td></tr></tbody><!-- 1 --></table><table><thead><tr><th>a</th><th>b</th></tr></thead><tr><td>{key}</td></tr><tr></tr></table><form action="/buy" method="POST"><input name="q"><div><select name="n"></select></div><input></form><form><textarea name="note"></textarea></form></div></body></html>"""
+_REDESIGNED = """<html><body><div id="shell" class="part"><h2>{name}</h2><p>Only <b>today</b></p><div><em class="cost">{price}</em></div><span class="stock">{stock}</span><hr></div></body></html>"""
 
 
 def filled(template: str, values: dict[str, Column]) -> Column:

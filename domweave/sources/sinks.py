@@ -31,7 +31,7 @@ def write_one(record: Row | dict, path: str, format: str = "json") -> None:
     if format == "json":
         Path(path).write_text(json.dumps(values, indent=2, ensure_ascii=False, default=str), encoding="utf-8")
     elif format == "csv":
-        with open(path, "w", newline="", encoding="utf-8") as f:
+        with Path(path).open("w", encoding="utf-8", newline="") as f:
             csv.writer(f).writerows([list(values), ["" if v is None else v for v in values.values()]])
     elif format == "parquet":
         fields = [pa.field(k, pa.string(), nullable=False) for k in values]

@@ -28,11 +28,11 @@ def test_pages(spark, pages):
 def test_dataset_heals(spark, pages, tmp_path):
     store = heal.FingerprintStore(spark, str(tmp_path / "store"))
     s = api.Session(spark, pages, auto_match=True, fingerprints=store)
-    s.dataset("http://s/a").field("price", "span.price").capture()
+    s.dataset("http://s/a").field("price", ".price").capture()
     moved = pages.where("url = 'http://s/b'").withColumn("url", F.lit("http://s/a"))
-    out = s.with_(pages=moved).dataset().field("price", "span.price", default="?").field("t", "title").build()
+    out = s.with_(pages=moved).dataset().field("price", ".price", default="?").field("t", "title").build()
     assert [tuple(r) for r in out.collect()] == [("http://s/a", "$9", "T")]
-    assert s.with_(auto_match=False, pages=moved).dataset().field("price", "span.price", default="?").build().first().price == "?"
+    assert s.with_(auto_match=False, pages=moved).dataset().field("price", ".price", default="?").build().first().price == "?"
     with pytest.raises(SchemaError):
         s.dataset().build()
     with pytest.raises(ConfigError):

@@ -45,10 +45,12 @@ def test_bases():
 
 
 def test_tables(page):
-    html = """<table><thead><tr><th>Merged</th><th>Header</th></tr></thead><tbody><tr><td>a <b>b</b></td><td></td></tr><tr></tr></tbody></table>
-    <table><tr><th>Name</th><th>Age</th></tr><tr><td>Alice<table><tr><td>in</td></tr></table></td><td>30</td></tr></table><table></table>"""
+    html = """<table><thead><tr id=h><th>Merged<th>Header</th></th></tr></thead>
+<tbody id=b><tr><td>a <b>b</b></td><td></td></tr><tr></tr></tbody></table>
+    <table><tr><th>Who</th>
+<th>Years</th></tr><tr id=r><td>Alice<table><tr><td>in</td></tr></table></td><td>30</td><!-- r --></tr></table><table></table>"""
     found = page(html).select(derive.tables(F.col("dom"))).first()[0]
-    assert [(t.headers, t.rows) for t in found] == [(["Merged Header"], [["a b", ""]]), (["Name", "Age"], [["Alice in", "30"]]), (["in"], []), ([], [])]
+    assert [(t.headers, t.rows) for t in found] == [(["Merged Header"], [["a b", ""]]), (["Who", "Years"], [["Alice in", "30"]]), (["in"], []), ([], [])]
 
 
 def test_forms_and_metadata(page):
@@ -114,7 +116,7 @@ def test_validation_stops_at_the_first(spark):
 def test_similarity(spark):
     assert sim.jaro_winkler("", "") == 1 and sim.jaro_winkler("a", "") == 0
     assert round(sim.jaro_winkler("MARTHA", "MARHTA"), 4) == 0.9611 and round(sim.jaro_winkler("DIXON", "DICKSONX"), 4) == 0.8133
-    assert sim.jaro_winkler("In Stock", "In Stock - Only 2 left!") > 0.7
+    assert sim.jaro_winkler("In Stock", "In Stock, some left") > 0.7
     sets = spark.createDataFrame([(["price", "red"], ["price", "blue"]), ([], [])], "a array<string>, b array<string>")
     assert [round(r[0], 4) for r in sets.select(sim.jaccard(F.col("a"), F.col("b"))).collect()] == [0.3333, 1.0]
     assert sim.ancestor_score([], []) == 1 and sim.ancestor_score([], [{"tag": "a", "id": "", "class": ""}]) == 0
@@ -137,7 +139,7 @@ def test_jaro_winkler_against_duckdb():
     same()
 
 
-OLD = '<html><body><div id="item" class="card"><div class="price-box"><span class="price">$9</span></div></div></body></html>'
+OLD = '<html><body><div id="item" class="card"><div class="box"><span class="price">$9</span></div></div></body></html>'
 NEW = '<html><body><section><div class="card"><p>x</p><span class="amount">$9</span></div></section></body></html>'
 
 
@@ -176,7 +178,7 @@ def test_changes(spark):
     assert [(r.change_type, r.in_stock) for r in out] == [c[2:] for c in CASES]
     assert round(out[0].diff_pct, 2) == -16.67 and out[1].diff_pct == 0 and out[5].diff == "- red\n+ blue" and out[6].diff == "+ v" and out[7].diff == "- v"
     labels = spark.createDataFrame([(k,) for k in change.KINDS], "k string").select(change.camel_label(F.col("k"))).collect()
-    assert [r[0] for r in labels] == ["ContentChange", "PriceChange", "StockChange", "ElementAdded", "ElementRemoved", "LayoutChange"]
+    assert [r[0] for r in labels] == ["ElementAdded", "ElementRemoved", "ContentChange", "StockChange", "PriceChange", "LayoutChange"]
 
 
 def test_nothing_changes(spark):

@@ -17,8 +17,8 @@ def shape(html):
     [
         ("", []),
         (None, []),
-        ("<div><p>Hello World</p></div>", [("div", -1, ""), ("p", 0, "Hello World")]),
-        ("<div><p>Paragraph <span>Nested</div><i>x", [("div", -1, ""), ("p", 0, "Paragraph "), ("span", 1, "Nested"), ("i", -1, "x")]),
+        ("<div><p>Good day</p></div>", [("div", -1, ""), ("p", 0, "Good day")]),
+        ("<div><p>Some <span>Nested</div><i>x", [("div", -1, ""), ("p", 0, "Some "), ("span", 1, "Nested"), ("i", -1, "x")]),
         ("<p>a<p>b", [("p", -1, "a"), ("p", 0, "b")]),
         ("<div>a</span>b</div>", [("div", -1, "ab")]),
         ("<div>x<br>y</div>", [("div", -1, "xy"), ("br", 0, "")]),
