@@ -16,7 +16,7 @@ K = 10
 #: Segments of each resolution, coarse to fine; the last one is the vector itself.
 LEVELS = (4, 16, 32)
 #: Vectors of a block, and queries that are compared with a block at once.
-BLOCK, CHUNK = 4096, 512
+BLOCK, CHUNK = 8192, 512
 
 
 def segment_edges(dimension: int, segments: int) -> np.ndarray:
@@ -100,8 +100,8 @@ def own_bounds(ids: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
     return bound
 
 
-def _matrix(value, dimension: int) -> np.ndarray:
-    return np.frombuffer(value, dtype=np.float64).reshape(-1, dimension)
+def _matrix(value, dimension: int, kind: type) -> np.ndarray:
+    return np.frombuffer(value, dtype=kind).reshape(-1, dimension).astype(np.float64)
 
 
 def nearest(vectors: DataFrame, k: int = K, block_size: int = BLOCK) -> DataFrame:
@@ -121,6 +121,8 @@ def nearest(vectors: DataFrame, k: int = K, block_size: int = BLOCK) -> DataFram
     fewer than k others all are returned; an empty table gives an empty table.
     Other columns are not read.
     """
+    # what moves between executors is as narrow as the input
+    kind = np.float32 if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else np.float64
     numbers = F.col("embedding").cast("array<double>")
     good = F.coalesce(F.forall(numbers, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))), F.lit(False))
     usable = vectors.where("vec_id IS NOT NULL AND size(embedding) > 0").where(good).select(F.col("vec_id").cast("long").alias("vec_id"), numbers.alias("embedding"))
@@ -139,7 +141,7 @@ def nearest(vectors: DataFrame, k: int = K, block_size: int = BLOCK) -> DataFram
         order = np.argsort(ids)
         ids, x = ids[order], x[order]
         bound, box = own_bounds(ids, x, k), statistics(x, LEVELS[0])
-        return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int32()), "ids": [ids.tobytes()], "x": [x.tobytes()], "bounds": [bound.tobytes()], "bound": [float(bound.max())], "low": [box.min(0).tolist()], "high": [box.max(0).tolist()]})
+        return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int32()), "ids": [ids.tobytes()], "x": [x.astype(kind).tobytes()], "bounds": [bound.tobytes()], "bound": [float(bound.max())], "low": [box.min(0).tolist()], "high": [box.max(0).tolist()]})
 
     schema = "block int, ids binary, x binary, bounds binary, bound double, low array<double>, high array<double>"
     table = written(placed.groupBy("block").applyInArrow(pack, schema), "vectors")
@@ -156,7 +158,7 @@ def nearest(vectors: DataFrame, k: int = K, block_size: int = BLOCK) -> DataFram
     def compare(one: pa.Table) -> pa.Table:
         row = {c: one.column(c)[0].as_py() for c in ("q_ids", "q_x", "q_bounds", "ids", "x")}
         q_ids, ids = np.frombuffer(row["q_ids"], dtype=np.int64), np.frombuffer(row["ids"], dtype=np.int64)
-        i, n, d = search(q_ids, _matrix(row["q_x"], dimension), np.frombuffer(row["q_bounds"]), ids, _matrix(row["x"], dimension), k)
+        i, n, d = search(q_ids, _matrix(row["q_x"], dimension, kind), np.frombuffer(row["q_bounds"]), ids, _matrix(row["x"], dimension, kind), k)
         return pa.table({"vec_id": q_ids[i], "neighbor_id": n, "distance": d})
 
     found = work.groupBy("q_block", "o_block").applyInArrow(compare, "vec_id long, neighbor_id long, distance double")
