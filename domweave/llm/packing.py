@@ -86,8 +86,6 @@ def plan_bins(lengths: dict[int, int], capacity: int) -> list[tuple[int, int, in
     return rows
 
 
-
-
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """(bin_id, doc_id, piece, start_token, n_tokens): every token of every document in one bin.
 
