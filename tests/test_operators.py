@@ -1,6 +1,7 @@
 """Views, records, values, healing, change detection and crawling on small inputs."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -236,3 +237,22 @@ def test_page_stream(spark, tmp_path):
     out = extract_stream(page_stream(spark, str(tmp_path / "in")), [Field("t", "title")])
     sinks.stream_to(out, str(tmp_path / "out"), str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).first().t == "t"
+
+
+def test_reach_over_all_rows(spark, tmp_path):
+    import bench
+    from domweave.plans import catalog
+
+    rng = random.Random(3)
+    rows = [(rng.randint(0, 40), rng.randint(0, 60), float(rng.randint(1, 50))) for _ in range(90)] + [(0, 7, 1.0), (1, 7, 2.0)]
+    spark.createDataFrame(rows, "l_suppkey bigint, l_partkey bigint, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    near = {}
+    for s, p, _ in rows:
+        near.setdefault(f"s{s}", set()).add(f"p{p}")
+        near.setdefault(f"p{p}", set()).add(f"s{s}")
+    want, level = {"s0": 0}, {"s0"}
+    for depth in (1, 2, 3):
+        level = set().union(*(near[u] for u in level)) - set(want)
+        want |= dict.fromkeys(level, depth)
+    (name,) = [n for n in bench.NAMES if n.startswith("crawl_reach")]
+    assert {(r.url, r.depth) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()} == set(want.items()) and max(want.values()) == 3
