@@ -11,8 +11,50 @@ from pyspark.sql import functions as F
 
 from domweave.llm.common import spread, token_count, unit_hash, written
 
-#: Most constraints of which the driver solves the Newton system.
-MOST_CONSTRAINTS = 4000
+#: Constraints up to which a Newton step is solved as a dense matrix; beyond, by conjugate gradients over the pairs that occur.
+MOST_DENSE = 4000
+
+
+def _rates_of_one(cells: DataFrame, column: str, given: Mapping | None, power: float) -> DataFrame:
+    """The rates for one column: its constraints share no cell, so each rate is its wanted tokens over those it has."""
+    held = F.coalesce(F.col("tokens") > 0, F.lit(False))
+    if given is None:
+        weighed = cells.withColumn("__w", F.pow(F.col("tokens").cast("double"), F.lit(float(power))))
+    else:
+        kind = cells.schema[column].dataType.simpleString()
+        table = cells.sparkSession.createDataFrame([(v, float(w)) for v, w in given.items()], f"__v {kind}, __w double")
+        weighed = cells.join(table, F.col(column).eqNullSafe(F.col("__v")), "left")
+    n, total, weights = weighed.where(held).agg(F.count("*"), F.sum("tokens"), F.sum("__w")).first()
+    if n and not weights:
+        raise ValueError(f"no value of {column} has a target weight")
+    share = F.lit(float(total) / weights if n else 0.0)
+    rate = F.when(F.col("__w") > 0, F.col("__w") * share / F.col("tokens")).otherwise(0.0)
+    return weighed.select(column, F.when(held, rate).otherwise(1.0).alias("rate"))
+
+
+def _sparse_step(i: np.ndarray, j: np.ndarray, x: np.ndarray, gradient: np.ndarray, iterations: int = 2000) -> np.ndarray:
+    """The least-squares Newton step of the symmetric matrix with `x` at (i, j) and (j, i), by conjugate gradients (CGLS) scaled by its diagonal."""
+    size, off = len(gradient), i != j
+    diagonal = np.bincount(i[~off], x[~off], size)
+    scale = np.where(diagonal > 0, 1 / np.sqrt(np.where(diagonal > 0, diagonal, 1)), 0)
+    x = x * scale[i] * scale[j]
+
+    def times(v: np.ndarray) -> np.ndarray:
+        return np.bincount(i, x * v[j], size) + np.bincount(j[off], (x * v[i])[off], size)
+
+    step, rest = np.zeros(size), gradient * scale
+    s = p = times(rest)
+    norm = first = s @ s
+    for _ in range(iterations):
+        if norm <= 1e-24 * first or not norm:
+            break
+        q = times(p)
+        a = norm / (q @ q)
+        step, rest = step + a * p, rest - a * q
+        s = times(rest)
+        norm, old = s @ s, norm
+        p = s + norm / old * p
+    return step * scale
 
 
 def solve_rates(cells: DataFrame, columns: Sequence[str], targets: Sequence[Mapping | None], power: float = 0.5, iterations: int = 60, tolerance: float = 1e-11) -> DataFrame:
@@ -24,14 +66,18 @@ def solve_rates(cells: DataFrame, columns: Sequence[str], targets: Sequence[Mapp
     to the `power`. Among all rates with the wanted tokens of every value, the
     one nearest to 1 in entropy, weighted by tokens, is exp(sum of the values'
     multipliers); the multipliers minimise the convex dual
-    sum(tokens * rate) - sum(multiplier * target). Every Newton iteration is one
-    aggregation over the cells, giving the gradient and the Hessian.
+    sum(tokens * rate) - sum(multiplier * target). For one column that is solved
+    per value, without the driver. For more, every Newton iteration is one
+    aggregation over the cells, giving the gradient and the Hessian: the driver
+    holds a number for each value, and for each pair of values that share a cell.
     """
+    if len(columns) == 1:
+        return _rates_of_one(cells, columns[0], targets[0], power)
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     index: list[tuple[int, object]] = []
     wanted: list[float] = []
     for k, column in enumerate(columns):
-        held = [(r[0], r[1]) for r in cells.groupBy(column).agg(F.sum("tokens")).limit(MOST_CONSTRAINTS + 1).collect() if r[1]]
+        held = [(r[0], r[1]) for r in cells.groupBy(column).agg(F.sum("tokens").alias("t")).where("t > 0").collect()]
         held.sort(key=lambda x: (x[0] is not None, str(x[0])))
         given = targets[k]
         weight = [float(given.get(v, 0)) if given is not None else float(t) ** power for v, t in held]
@@ -39,8 +85,6 @@ def solve_rates(cells: DataFrame, columns: Sequence[str], targets: Sequence[Mapp
             raise ValueError(f"no value of {column} has a target weight")
         index += [(k, v) for v, _ in held]
         wanted += [total * w / sum(weight) for w in weight]
-    if len(index) > MOST_CONSTRAINTS:
-        raise ValueError(f"{len(index)} constraints; at most {MOST_CONSTRAINTS} are solved")
     spark, schema = cells.sparkSession, cells.schema
     multiplier, b = np.zeros(len(index)), np.array(wanted)
     live = b > 0
@@ -57,16 +101,19 @@ def solve_rates(cells: DataFrame, columns: Sequence[str], targets: Sequence[Mapp
         return out.withColumn("rate", F.exp(tilt))
 
     for _ in range(iterations if live.any() else 0):
-        pairs = F.array(*[F.struct(F.least(f"__i{a}", f"__i{c}").alias("i"), F.greatest(f"__i{a}", f"__i{c}").alias("j")) for a, c in combinations_with_replacement(range(len(columns)), 2)]) if len(columns) > 1 else F.array(F.struct(F.col("__i0").alias("i"), F.col("__i0").alias("j")))
+        pairs = F.array(*[F.struct(F.least(f"__i{a}", f"__i{c}").alias("i"), F.greatest(f"__i{a}", f"__i{c}").alias("j")) for a, c in combinations_with_replacement(range(len(columns)), 2)])
         sums = tilted().where("tokens > 0").select(F.explode(pairs).alias("p"), (F.col("tokens") * F.col("rate")).alias("x")).groupBy("p.i", "p.j").agg(F.sum("x").alias("x")).collect()
-        hessian = np.zeros((len(index), len(index)))
-        for r in sums:
-            hessian[r.i, r.j] = hessian[r.j, r.i] = r.x
-        gradient = np.diag(hessian) - b
+        i, j, x = np.array([r.i for r in sums]), np.array([r.j for r in sums]), np.array([r.x for r in sums])
+        gradient = np.bincount(i[i == j], x[i == j], len(index)) - b
         if np.abs(gradient[live]).max() <= tolerance * total:
             break
-        h = hessian[np.ix_(live, live)] / total
-        step = np.linalg.lstsq(h, gradient[live] / total, rcond=1e-12)[0]
+        if len(index) <= MOST_DENSE:
+            hessian = np.zeros((len(index), len(index)))
+            hessian[i, j] = hessian[j, i] = x
+            step = np.linalg.lstsq(hessian[np.ix_(live, live)] / total, gradient[live] / total, rcond=1e-12)[0]
+        else:
+            place, both = np.cumsum(live) - 1, live[i] & live[j]
+            step = _sparse_step(place[i[both]], place[j[both]], x[both] / total, gradient[live] / total)
         multiplier[live] -= np.clip(step, -2, 2)
     return tilted().select(*columns, "rate")
 

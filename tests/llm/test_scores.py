@@ -186,6 +186,33 @@ def test_targets_are_met(spark):
         mixing.mix_sources(df, weights={"z": 1})
 
 
+def test_any_number_of_sources(spark):
+    rows = [(k, "t " * (1 + k % 7), f"s{k % 4500}") for k in range(6000)] + [(6000 + k, None if k % 2 else "", f"z{k}") for k in range(500)] + [(7000, "t", None)]
+    key = lambda x: tuple((v is not None, v or 0) for v in x)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    out = mixing.mix_sources(df).collect()
+    assert sorted((tuple(r) for r in out), key=key) == sorted(brute.copies(rows), key=key)
+    tokens = sum(brute.count(t) for _, t, _ in rows)
+    given = {r.source: r.n_tokens * r.rate for r in mixing.mix_sources(df, weights={"s4400": 3, None: 1, "z3": 5, "none": 2}).where("n_tokens > 0 AND rate > 0").collect()}
+    assert given == pytest.approx({"s4400": tokens * 0.75, None: tokens * 0.25}, rel=1e-6)
+
+
+def test_many_constraints_on_two_columns(spark):
+    rng = random.Random(8)
+    rows = [(k, "t " * rng.randint(1, 9), f"s{k % 4100}", rng.choice(["en", "de", "fr", None])) for k in range(16_400)] + [(20_000 + k, "", f"z{k}", "en") for k in range(50)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string")
+    cells = df.groupBy("source", "lang").agg(F.sum(mixing.token_count("text")).alias("tokens"))
+    solved = [(r.source, r.lang, r.tokens * r.rate) for r in mixing.solve_rates(cells, ["source", "lang"], [None, {"en": 2, "de": 1, "fr": 1, None: 1}]).join(cells.withColumnsRenamed({"source": "s", "lang": "l"}), F.expr("source <=> s AND lang <=> l")).collect()]
+    total, by, own = sum(brute.count(r[1]) for r in rows), {}, {}
+    for source, lang, x in solved:
+        by[source], by["in", lang] = by.get(source, 0) + x, by.get(("in", lang), 0) + x
+    for _, text, source, _ in rows:
+        own[source] = own.get(source, 0) + brute.count(text)
+    roots = sum(map(math.sqrt, own.values()))
+    assert [by["in", v] for v in ("en", "de", "fr", None)] == pytest.approx([total * w / 5 for w in (2, 1, 1, 1)], rel=1e-6)
+    assert all(by[v] == pytest.approx(total * math.sqrt(t) / roots, rel=1e-6) for v, t in own.items())
+
+
 # search
 
 @pytest.mark.parametrize("block", [4096, 50])
