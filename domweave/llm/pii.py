@@ -49,9 +49,14 @@ _AT = re.compile(rf"\s*{_MARK}\s*(?:at|@)\s*{_END}\s*", re.I)
 _DOT = re.compile(rf"\s*{_MARK}\s*(?:dot|\.)\s*{_END}\s*", re.I)
 #: Last parts of host names that bare words may end in: generic ones, and two letters that are no common word.
 _TOP = "(?:com|org|net|edu|gov|mil|int|info|biz|name|pro|app|dev|xyz|online|site|shop|store|tech|cloud|blog|example|test|invalid|(?!(?:am|an|as|at|be|by|do|go|he|if|in|is|it|la|my|no|of|on|or|so|to|up|we)\\b)[a-z]{2})"
-#: "name at host dot com": bare words are taken only with all their parts there.
-_BARE = re.compile(rf"(?<![\w.])[a-z0-9_+\-]+(?:(?: dot |\.)[a-z0-9_+\-]+)*(?P<at> at | @ )[a-z0-9\-]+(?:(?: dot |\.)[a-z0-9\-]+)* dot {_TOP}\b", re.I)
-_DISGUISED = re.compile(r"[\[({<]\s*(?:at|@|dot|\.)\s*[\])}>]| dot ", re.I)
+_COUNTRY_WORD = "(?:am|an|as|at|be|by|do|go|he|if|in|is|it|la|my|no|of|on|or|so|to|up|we)"
+_SEP = r"(?:\s+dot\s+|\.)"
+#: "name at host dot com" with any parts of it disguised; what of it is taken is decided by `_address`. 64 characters hold at most 32 parts.
+_ADDRESS = re.compile(rf"(?<![\w.+\-%])[a-z0-9_+\-%]++(?:{_SEP}[a-z0-9_+\-%]++){{0,31}}(?P<at>\s+at\s+|\s*@\s*)(?P<host>[a-z0-9\-]+(?:{_SEP}[a-z0-9\-]+)*{_SEP}[a-z]{{2,24}})(?![\w\-])", re.I)
+#: A host that stands without a mark: a bare dot before a last part that is no common word, or is the last word before a stop.
+_BARE_HOST = re.compile(rf"(?!(?:the|a|an|this|that|each|every|my|our|his|her|its|your|their|any|some|one)\b)[a-z0-9\-]+(?:{_SEP}[a-z0-9\-]+)*\s+dot\s+(?:{_TOP}|{_COUNTRY_WORD}(?=\s*(?:$|[.,;:!?)\]}}>\"'])))(?:{_SEP}[a-z]{{2,24}})*(?![\w\-])", re.I)
+_BARE_DOT = re.compile(r"\s+dot\s+", re.I)
+_DISGUISED = re.compile(r"[\[({<]\s*(?:at|@|dot|\.)\s*[\])}>]|\sdot\s|\s@|@\s", re.I)
 
 _EMAIL = re.compile(r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])")
 _PHONE = re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{3}\)[ .\-]?|\d{3}[ .\-])\d{3}[ .\-]\d{4}(?![\w])|(?<![\w.])\+\d{1,3}(?:[ .\-]?\d{2,4}){2,5}(?!\w)|(?<!\w)\d{10}(?!\w)")
@@ -121,10 +126,7 @@ def normalised(source: str) -> Text:
     if _DISGUISED.search(text.plain):
         marks = [(m.start(), m.end(), "@") for m in _AT.finditer(text.plain)] + [(m.start(), m.end(), ".") for m in _DOT.finditer(text.plain)]
         text.replace(_apart(marks))
-        bare = []
-        for m in _BARE.finditer(text.plain):
-            bare.append((m.start("at"), m.end("at"), "@"))
-            bare += [(m.start() + d.start(), m.start() + d.end(), ".") for d in re.finditer(" dot ", m.group(), re.I)]
+        bare = [r for m in _ADDRESS.finditer(text.plain) for r in _address(text, m)]
         text.replace(_apart(bare))
     spelled = []
     for m in _NUMBER.finditer(text.plain):
@@ -136,6 +138,33 @@ def normalised(source: str) -> Text:
     return text
 
 
+def _address(text: Text, m: re.Match) -> list[tuple[int, int, str]]:
+    """What to write for the disguises of an address; none if it may be prose.
+
+    A mark is an at sign or an at or dot in brackets. Beside one, bare words and
+    any last part are taken. Without one the host has to look like one.
+    """
+
+    def marked(k: int) -> bool:
+        a, b = text.source(k, k + 1)
+        return b - a > 1
+
+    plain, (a, b), end = text.plain, m.span("at"), m.end()
+    at, dots = plain[a:b], [d.span() for d in _BARE_DOT.finditer(plain, b, end)]
+    if at == "@":
+        if not dots and not marked(a):
+            return []  # an address as it is
+    else:
+        even = at[0].isspace() and at[-1].isspace()
+        if "@" in at and not even or "@" not in at and not any(marked(k) for k in range(b, end) if plain[k] == "."):
+            host = _BARE_HOST.match(plain, b)
+            if not host:
+                return []
+            end = host.end()
+    dots = [d.span() for d in _BARE_DOT.finditer(plain, m.start(), end) if d.end() <= a or d.start() >= b]
+    return [(a, b, "@")] * (at != "@") + [(x, y, ".") for x, y in dots]
+
+
 def _apart(found: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     out: list[tuple[int, int, str]] = []
     for f in sorted(found):

@@ -82,6 +82,23 @@ def test_identifiers(text, expected):
     assert [(k, v, text[a:b]) for k, a, b, v in pii.detect(text)] == expected
 
 
+@pytest.mark.parametrize("surface, value", [
+    ("jane [at] example dot com", "jane@example.com"), ("jane@example dot com", "jane@example.com"), ("jane at example [dot] com", "jane@example.com"),
+    ("jane dot doe (at) mail.example dot com", "jane.doe@mail.example.com"), ("jane  at\texample \n dot com", "jane@example.com"), ("jane @ example  dot com", "jane@example.com"),
+    ("giulia [at] azienda dot it", "giulia@azienda.it"), ("giulia at azienda dot it", "giulia@azienda.it"), ("raj at site dot co dot in", "raj@site.co.in"),
+    ("raj@site dot co dot in", "raj@site.co.in"), ("ana at firma [dot] museum", "ana@firma.museum"), ("jane @example dot com", "jane@example.com"),
+])
+def test_mixed_disguises(surface, value):
+    for before, after in (("", ""), ("mail: ", ", please"), ("(", ") or call")):
+        text = before + surface + after
+        assert [(k, v, text[a:b]) for k, a, b, v in pii.detect(text)] == [("email", value, surface)]
+
+
+@pytest.mark.parametrize("text", ["look at the dot in the middle", "look at the dot.", "stare at polka dot dresses", "see it at example.com", "thanks @bob.smith", "thanks @bob dot matrix", "he looked at a red dot on it"])
+def test_prose_is_no_address(text):
+    assert pii.detect(text) == []
+
+
 def test_identifiers_of_a_table(spark, docs, none):
     long = "word " * 100_000 + "end: a@b.co"
     df = spark.createDataFrame([(1, t, "x") for t, _ in CASES] + [(None, "a@b.co", None), (2, None, "x"), (3, long, "x"), (3, long, "x")], "doc_id bigint, text string, value string")
