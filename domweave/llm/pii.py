@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -43,6 +44,14 @@ _SPELLED = "zero|one|two|three|four|five|six|seven|eight|nine|oh"
 #: At least five spelled digits with only spaces, hyphens, dots or commas between them.
 _NUMBER = re.compile(rf"\b(?:{_SPELLED})(?:[ ,.\-]{{1,2}}(?:{_SPELLED})){{4,}}\b", re.I)
 _WORD_DIGIT = re.compile(_SPELLED, re.I)
+_UNIT = rf"(?:\b(?:{_SPELLED})\b|(?<!\w)\+?\d++(?!\w))"
+_BETWEEN = r"[\s,.\-()]++(?:(?:dot|point|dash|hyphen)\b[\s,.\-()]++)?"
+#: Spelled digits and numerals with white space, signs, "dot" or "dash" between them.
+_MIXED = re.compile(rf"{_UNIT}(?:{_BETWEEN}{_UNIT})+", re.I)
+_UNITS = re.compile(_UNIT, re.I)
+_SPELLED_WORD = re.compile(rf"\b(?:{_SPELLED})\b", re.I)
+#: Most digits of an identifier: a payment card.
+_MOST_DIGITS = 19
 _MARK = r"[\[({<]"
 _END = r"[\])}>]"
 _AT = re.compile(rf"\s*{_MARK}\s*(?:at|@)\s*{_END}\s*", re.I)
@@ -128,6 +137,8 @@ def normalised(source: str) -> Text:
         text.replace(_apart(marks))
         bare = [r for m in _ADDRESS.finditer(text.plain) for r in _address(text, m)]
         text.replace(_apart(bare))
+    if _SPELLED_WORD.search(text.plain):
+        text.replace([r for m in _MIXED.finditer(text.plain) if _SPELLED_WORD.search(m.group()) for r in _read_out(m.group(), m.start())])
     spelled = []
     for m in _NUMBER.finditer(text.plain):
         words = list(_WORD_DIGIT.finditer(m.group()))
@@ -165,6 +176,67 @@ def _address(text: Text, m: re.Match) -> list[tuple[int, int, str]]:
     return [(a, b, "@")] * (at != "@") + [(x, y, ".") for x, y in dots]
 
 
+def _is_number(digits: str) -> bool:
+    """Whether the whole string is an identifier of digits."""
+    plain = re.sub(r"\D", "", digits)
+    if _SSN.fullmatch(digits) or _IP.fullmatch(digits):
+        return True
+    return bool(_CARD.fullmatch(digits) and plain[0] in "3456" and luhn(plain) or _PHONE.fullmatch(digits) and 10 <= len(plain) <= 15)
+
+
+def _read_out(run: str, base: int) -> list[tuple[int, int, str]]:
+    """What to write for the identifiers in a run of spelled digits and numerals.
+
+    What most often stands between single digits joins them to groups; what
+    else stands between them is kept as a dot, a hyphen or a space, and if that
+    is no identifier, left out. Of the stretches of whole groups that are one,
+    with a spelled digit in it, the longest from the left are taken.
+    """
+    units = [(u.start(), u.end(), u.group().lower()) for u in _UNITS.finditer(run)]
+    digits = [_DIGITS.get(w, w) for _, _, w in units]
+    said = [w in _DIGITS for _, _, w in units]
+    between = [run[x[1] : y[0]].lower() for x, y in zip(units, units[1:])]
+    single = [len(d) == 1 for d in digits]
+    kept = ["." if "dot" in t or "point" in t or t == "." else "-" if "-" in t or "dash" in t or "hyphen" in t else " " for t in between]
+    counts = Counter(t for k, t in enumerate(between) if single[k] and single[k + 1] and kept[k] != ".")
+    weak = max(counts, key=lambda t: (counts[t], t == " "), default=None)
+    inner = [single[k] and single[k + 1] and t == weak for k, t in enumerate(between)]
+    n, out, first = len(units), [], 0
+    while first < n:
+        if first and inner[first - 1]:
+            first += 1
+            continue
+        best, grouped, joined, words = None, "", "", 0
+        for k in range(first, n):
+            if k > first:
+                if digits[k][0] == "+":
+                    break
+                grouped += "" if inner[k - 1] else kept[k - 1]
+            grouped, joined, words = grouped + digits[k], joined + digits[k], words + said[k]
+            if len(joined) > _MOST_DIGITS + 1:
+                break
+            if words and len(joined) > 3 and (k == n - 1 or not inner[k]):
+                if _is_number(grouped):
+                    best = (k, True)
+                elif (words > 2 or words == k + 1 - first) and _is_number(joined):
+                    best = (k, False)
+        if best is None:
+            first += 1
+            continue
+        last, in_groups = best
+        for k in range(first, last + 1):
+            a, b, word = units[k]
+            sep = kept[k] if k < last and in_groups and not inner[k] else ""
+            if k < last and not sep:
+                b = units[k + 1][0]  # a digit stands for what separates it from the next, too
+            if run[a:b] != digits[k]:
+                out.append((base + a, base + b, digits[k]))
+            if sep and run[b : units[k + 1][0]] != sep:
+                out.append((base + b, base + units[k + 1][0], sep))
+        first = last + 1
+    return out
+
+
 def _apart(found: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     out: list[tuple[int, int, str]] = []
     for f in sorted(found):
@@ -225,7 +297,12 @@ def find_private(docs: DataFrame) -> DataFrame:
     telephone numbers, payment cards (with a valid check digit), IPv4
     addresses, US social security numbers and IBANs (with valid check digits)
     are found, plain or behind homoglyphs, characters without width, spelled
-    digits and at/dot disguises.
+    digits and at/dot disguises. Spelled digits, also beside numerals, are read
+    as telephone numbers, cards, IPv4 addresses (with "dot") and social security
+    numbers (with hyphens or "dash"); not as IBANs, unless five or more of them
+    follow each other.
+
+    "name at host.com" without a mark is taken for prose.
 
     Defined results: null and empty texts have no rows; a null doc_id is kept;
     repeated rows give repeated rows; of identifiers that overlap the first in

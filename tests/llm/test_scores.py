@@ -94,6 +94,25 @@ def test_mixed_disguises(surface, value):
         assert [(k, v, text[a:b]) for k, a, b, v in pii.detect(text)] == [("email", value, surface)]
 
 
+@pytest.mark.parametrize("surface, kind, value", [
+    ("five five five - one two three - four five six seven", "phone", "5551234567"), ("five five five\n one two three\nfour five six seven", "phone", "5551234567"),
+    ("five five five 123 4567", "phone", "5551234567"), ("555 one two three 4567", "phone", "5551234567"), ("five five five 1234567", "phone", "5551234567"), ("five-five-five one-two-three four-five-six-seven", "phone", "5551234567"),
+    ("+1 five five five one two three four five six seven", "phone", "+15551234567"),
+    ("one two three - four five - six seven eight nine", "ssn", "123-45-6789"), ("123-four five-6789", "ssn", "123-45-6789"), ("one two three dash four five dash six seven eight nine", "ssn", "123-45-6789"),
+    ("one nine two dot one six eight dot zero dot one", "ip", "192.168.0.1"), ("192 dot 168 dot zero dot 1", "ip", "192.168.0.1"),
+    ("four one one one - 1111 - 1111 - one one one one", "card", "4111111111111111"),
+])
+def test_mixed_digits(surface, kind, value):
+    for before, after in (("", ""), ("it is ", ", ok"), ("one. It is (", ") or two")):
+        text = before + surface + after
+        assert [(k, v, text[a:b]) for k, a, b, v in pii.detect(text)] == [(kind, value, surface)]
+
+
+@pytest.mark.parametrize("text", ["One. Two. Three. Four.", "one of 2024-01-02, 12345 things", "section two 2019 12345", "one two three dot four", "room one, 1 to 3 and 4 5 6"])
+def test_prose_is_no_number(text):
+    assert pii.detect(text) == []
+
+
 @pytest.mark.parametrize("text", ["look at the dot in the middle", "look at the dot.", "stare at polka dot dresses", "see it at example.com", "thanks @bob.smith", "thanks @bob dot matrix", "he looked at a red dot on it"])
 def test_prose_is_no_address(text):
     assert pii.detect(text) == []
