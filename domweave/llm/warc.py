@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gzip
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 from domweave.llm.common import new_path, shuffle_partitions
 
 _END = b"\r\n\r\n"
+_PIECE = 1 << 16
 
 
 def page_records(pages: DataFrame) -> DataFrame:
@@ -79,11 +79,18 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def gunzipped(data: bytes) -> bytes:
-    """All members; one that is cut off gives what it has."""
-    try:
-        return gzip.decompress(data)
-    except (EOFError, zlib.error):
-        return zlib.decompressobj(31).decompress(data)
+    """All members; one that is cut off gives what it has. What follows the last member and is none is left out; a damaged member is an error."""
+    out, at, view = [], 0, memoryview(data)
+    while True:
+        while data[at : at + 1] == b"\0":
+            at += 1
+        if data[at : at + 2] != b"\x1f\x8b":
+            return b"".join(out)
+        member = zlib.decompressobj(31)
+        while at < len(data) and not member.eof:
+            piece = view[at : at + _PIECE]  # so that what is unused stays short
+            out.append(member.decompress(piece))
+            at += len(piece) - len(member.unused_data)
 
 
 @dataclass(frozen=True)

@@ -3,6 +3,7 @@
 import gzip
 import math
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -315,3 +316,15 @@ def test_files(spark, tmp_path):
     assert len(rows) == 4 and {bytes(r.payload) for r in rows} == {b"hello", b"\r\n\r\nx"}
     whole = sorted(bytes(r.record) for r in warc.reconstruct(warc.archive(records)).collect())
     assert whole == sorted([info, page] * 2)
+
+
+def test_cut_off_members():
+    records = [b"WARC/1.0\r\nContent-Length: %d\r\n\r\n" % n + random.Random(n).randbytes(n) + b"\r\n\r\n" for n in (5, 200_000, 7, 90_000)]
+    whole = b"".join(map(gzip.compress, records))
+    for cut in (1, 9, 40_000):
+        got = warc.gunzipped(whole[:-cut])
+        assert b"".join(records).startswith(got) and len(list(warc.split_records(got))) >= 3 and len(got) > len(b"".join(records)) - cut - 200
+    for after in (b"junk", b"\0" * 20, b"\x1f", b""):
+        assert warc.gunzipped(whole + after) == b"".join(records)
+    with pytest.raises(zlib.error):
+        warc.gunzipped(whole[:-8] + b"\1" * 8)
