@@ -14,35 +14,47 @@ from domweave.llm.common import spread
 
 #: (bytes from which it holds, least ratio, greatest ratio) of whole documents; shorter ones say too little.
 BANDS = ((128, 0.40, 1.10), (256, 0.33, 0.95), (512, 0.30, 0.85), (1024, 0.25, 0.80), (4096, 0.20, 0.75), (16384, 0.15, 0.70))
-#: Bytes of a chunk, the band of its ratio, and the share of a document's chunks that may be outside.
-CHUNK, CHUNK_BAND, OUTSIDE = 4096, (0.15, 0.85), 0.25
+#: (bytes of a document from which it holds, bytes of its chunks, least ratio, greatest ratio of a chunk).
+CHUNKS = ((1024, 512, 0.30, 0.95), (4096, 1024, 0.25, 0.90), (16384, 4096, 0.15, 0.85))
+#: The share of a document's chunks that may be outside.
+OUTSIDE = 0.25
 LEVEL = 3
 
 _RESULT = "n_bytes long, ratio double, n_chunks long, chunks_low long, chunks_high long, reason string"
 
 
-def verdict(text: str | None, compress, bands: Sequence[tuple[int, float, float]] = BANDS) -> tuple:
+def chunk_ratios(data: bytes, compress, chunk: int) -> list[float]:
+    """The ratios of the chunks that cover the data: one after the other, and if the last isn't full, the last `chunk` bytes."""
+    starts = list(range(0, len(data) - chunk + 1, chunk))
+    if starts and len(data) % chunk:
+        starts.append(len(data) - chunk)
+    return [len(compress(data[a : a + chunk])) / chunk for a in starts]
+
+
+def _of_length(table: Sequence[tuple], size: int) -> tuple | None:
+    at = bisect_right([row[0] for row in table], size) - 1
+    return table[at] if at >= 0 else None
+
+
+def verdict(text: str | None, compress, bands: Sequence[tuple[int, float, float]] = BANDS, chunks: Sequence[tuple[int, int, float, float]] = CHUNKS) -> tuple:
     """(n_bytes, ratio, n_chunks, chunks_low, chunks_high, reason) of a text; the reason is None if it stays."""
     data = (text or "").encode("utf-8", "surrogatepass")
     size = len(data)
     if not size:
         return 0, None, 0, 0, 0, None
     ratio = len(compress(data)) / size
-    # the last chunk counts if it is full
-    parts = [len(compress(data[a : a + CHUNK])) / CHUNK for a in range(0, size - CHUNK + 1, CHUNK)]
-    low, high = sum(p < CHUNK_BAND[0] for p in parts), sum(p > CHUNK_BAND[1] for p in parts)
-    at = bisect_right([b[0] for b in bands], size) - 1
+    band, cut = _of_length(bands, size), _of_length(chunks, size)
+    parts = chunk_ratios(data, compress, cut[1]) if cut else []
+    low, high = sum(p < cut[2] for p in parts), sum(p > cut[3] for p in parts)
     reason = None
-    if at >= 0:
-        _, least, most = bands[at]
-        if ratio < least:
-            reason = "repetitive"
-        elif ratio > most:
-            reason = "incompressible"
-        elif low > OUTSIDE * len(parts):
-            reason = "repetitive chunks"
-        elif high > OUTSIDE * len(parts):
-            reason = "incompressible chunks"
+    if band and ratio < band[1]:
+        reason = "repetitive"
+    elif band and ratio > band[2]:
+        reason = "incompressible"
+    elif low > OUTSIDE * len(parts):
+        reason = "repetitive chunks"
+    elif high > OUTSIDE * len(parts):
+        reason = "incompressible chunks"
     return size, round(ratio, 6), len(parts), low, high, reason
 
 
@@ -51,12 +63,15 @@ def judge(docs: DataFrame, bands: Sequence[tuple[int, float, float]] = BANDS) ->
 
     The ratio is compressed over plain bytes in UTF-8. A document is rejected
     if its whole ratio is outside the band of its length, or if more than
-    `OUTSIDE` of its full chunks are outside the chunks' band.
+    `OUTSIDE` of its chunks are outside the band of chunks in documents of its
+    length (`CHUNKS`). Every byte is in a chunk: where the last isn't full, the
+    chunk of that size at the end is measured.
 
     Defined results: null and empty texts have 0 bytes and no ratio and are
-    kept, as is everything shorter than the first band; a null doc_id is kept;
-    repeated rows are judged alike; an empty table gives an empty table. Other
-    columns are not read.
+    kept, as is everything shorter than the first band; very long texts are
+    measured whole, one at a time; a null doc_id is kept; repeated rows are
+    judged alike; an empty table gives an empty table. Other columns are not
+    read, so their names can't clash.
     """
 
     @F.pandas_udf(_RESULT)
