@@ -7,10 +7,12 @@ from collections import defaultdict
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from domweave.llm.common import shuffle_partitions, spread, token_count, written
+from domweave.llm.common import spread, token_count, written
 
 #: Tokens that a bin holds.
 CAPACITY = 2048
+#: Pieces that a slice holds on the whole; equal pieces are ranked within slices, each by one task.
+SLICE = 100_000
 
 
 class CapacityTree:
@@ -94,28 +96,33 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     number of pieces of each length, at most `capacity` numbers whatever the
     input, goes to the driver, which plans whole ranges of bins (`plan_bins`);
     the pieces find their bins by their rank among those of equal length.
-    Ranks are counted in slices, so that no task holds all pieces of a length.
-
-    Defined results: null and empty texts have no tokens and no rows; a null
-    doc_id is kept; pieces of equal length are ranked by slice, doc_id and
-    piece, and repeated rows are each packed; an empty table gives an empty
-    table. Other columns are not read.
+    Ranks are counted in slices, so that no task holds all pieces of a length;
+    their number follows from that of the pieces alone, so that the bins don't
+    depend on the session's settings. Only the plan is broadcast: some thousand
+    rows for a `capacity` of 2,048, whatever the input.
+
+    Defined results: null and empty texts have no tokens and no rows; very long
+    texts are cut like any other; a null doc_id is kept; pieces of equal length
+    are ranked by slice, doc_id and piece, and repeated rows are each packed;
+    an empty table gives an empty table. Other columns are not read, so their
+    names can't clash.
     """
     spark = docs.sparkSession
     n, cap = F.col("n"), F.lit(capacity)
     counted = docs.select("doc_id", token_count("text").alias("n")).where("n > 0")
     pieces = counted.select("doc_id", "n", F.explode(F.sequence(F.lit(0), (F.ceil(n / cap) - 1).cast("int"))).alias("piece"))
     start = F.col("piece").cast("long") * cap
-    pieces = pieces.select("doc_id", "piece", start.alias("start_token"), F.least(n - start, cap).cast("int").alias("length"), F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shuffle_partitions(spark))).cast("int").alias("slice"))
-    pieces = written(pieces, "pieces")
-    slices = written(pieces.groupBy("length", "slice").agg(F.count("*").alias("number")), "slices")
+    pieces = written(pieces.select("doc_id", "piece", start.alias("start_token"), F.least(n - start, cap).cast("int").alias("length")), "pieces")
+    slices = max(1, pieces.count() // SLICE)
+    pieces = pieces.withColumn("slice", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(slices)).cast("int"))
+    counts = written(pieces.groupBy("length", "slice").agg(F.count("*").alias("number")), "slices")
     by_slice = Window.partitionBy("length").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = slices.select("length", "slice", F.coalesce(F.sum("number").over(by_slice), F.lit(0)).alias("offset"))
-    lengths = {r.length: r.number for r in slices.groupBy("length").agg(F.sum("number").alias("number")).collect()}
+    offsets = counts.select("length", "slice", F.coalesce(F.sum("number").over(by_slice), F.lit(0)).alias("offset"))
+    lengths = {r.length: r.number for r in counts.groupBy("length").agg(F.sum("number").alias("number")).collect()}
     plan = spark.createDataFrame(plan_bins(lengths, capacity), "length int, from_rank long, to_rank long, first_bin long, per_bin long")
     in_slice = Window.partitionBy("length", "slice").orderBy("doc_id", "piece")
-    ranked = pieces.withColumn("rank", F.row_number().over(in_slice) - 1).join(offsets, ["length", "slice"]).withColumn("rank", F.col("rank") + F.col("offset"))
-    placed = ranked.join(plan, ["length"]).where("rank >= from_rank AND rank < to_rank")
+    ranked = pieces.withColumn("rank", F.row_number().over(in_slice) - 1).join(offsets.hint("merge"), ["length", "slice"]).withColumn("rank", F.col("rank") + F.col("offset"))
+    placed = ranked.join(F.broadcast(plan), ["length"]).where("rank >= from_rank AND rank < to_rank")
     bin_id = F.col("first_bin") + F.floor((F.col("rank") - F.col("from_rank")) / F.col("per_bin"))
     return placed.select(bin_id.cast("long").alias("bin_id"), "doc_id", "piece", "start_token", F.col("length").cast("long").alias("n_tokens"))
 

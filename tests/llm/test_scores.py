@@ -149,17 +149,32 @@ def test_compression(docs, rows, none):
     for d, t, *_ in rows:
         data = (t or "").encode()
         ratio = round(len(compress(data)) / len(data), 6) if data else None
-        chunks = [len(compress(data[k : k + 4096])) / 4096 for k in range(0, len(data), 4096) if k + 4096 <= len(data)]
+        chunks, least, most = [], 0, 2
+        for size, n, *limits in compression.CHUNKS:
+            if len(data) >= size:
+                least, most = limits
+                ends = {min(k + n, len(data)) for k in range(0, len(data), n)}
+                chunks = [len(compress(data[e - n : e])) / n for e in ends]
         band = [b for b in compression.BANDS if b[0] <= len(data)][-1:]
         reason = ""
         for _, low, high in band:
             share = lambda f: sum(map(f, chunks)) > compression.OUTSIDE * len(chunks)
-            reason = "repetitive" if ratio < low else "incompressible" if ratio > high else "repetitive chunks" if share(lambda c: c < compression.CHUNK_BAND[0]) else "incompressible chunks" if share(lambda c: c > compression.CHUNK_BAND[1]) else ""
+            reason = "repetitive" if ratio < low else "incompressible" if ratio > high else "repetitive chunks" if share(lambda c: c < least) else "incompressible chunks" if share(lambda c: c > most) else ""
         want.append((d is None, d or 0, len(data), ratio or 0, len(chunks), not reason, reason))
     assert got == sorted(want) and any(w[6] for w in want)
     assert compression.judge(none).count() == 0
 
 
+@pytest.mark.parametrize("prose, junk", [(1200, 1200), (4096, 3900), (40_000, 16_000)])
+def test_junk_is_found_wherever_it_stands(prose, junk):
+    compress, rng = zstandard.ZstdCompressor(level=3).compress, random.Random(7)
+    text = " ".join("".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 9))) for _ in range(prose))[:prose]
+    line = ("buy now cheap " * junk)[:junk]
+    assert compression.verdict(text, compress)[5] is None
+    for whole in (line + text, text + line, text[: prose // 2] + line + text[prose // 2 :]):
+        assert compression.verdict(whole, compress)[5] in ("repetitive", "repetitive chunks")
+
+
 # packing
 
 @settings(max_examples=150, deadline=None)
@@ -196,6 +211,30 @@ def test_packing(docs, rows, none):
     assert packing.pack_documents(none).count() == 0
 
 
+def test_bins_do_not_depend_on_the_session(spark, docs, monkeypatch):
+    monkeypatch.setattr(packing, "SLICE", 40)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    found = []
+    try:
+        for number in ("3", "7"):
+            spark.conf.set("spark.sql.shuffle.partitions", number)
+            found.append(sorted(map(str, packing.pack_documents(docs, 100).collect())))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1]
+
+
+def test_best_fit_of_whole_bins():
+    rng = random.Random(11)
+    lengths = [rng.choice([rng.randint(1, 60), rng.randint(1, 3000), 2048, 1024]) for _ in range(4000)]
+    pieces = [p for n in lengths for p in [packing.CAPACITY] * (n // packing.CAPACITY) + [n % packing.CAPACITY] if p]
+    filled = {}
+    for length, a, b, first, each in packing.plan_bins({n: pieces.count(n) for n in set(pieces)}, packing.CAPACITY):
+        for k in range(b - a):
+            filled[first + k // each] = filled.get(first + k // each, 0) + length
+    assert sorted(packing.CAPACITY - x for x in filled.values()) == brute.bins(lengths, packing.CAPACITY)
+
+
 # mixing
 
 def test_mixing(docs, rows, none):
