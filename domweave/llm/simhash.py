@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +20,8 @@ from domweave.llm.common import spread, unused, written
 RADIUS = 7
 #: Reference fingerprints.
 PIVOTS = 16
-#: Segments of a fingerprint: two of them agree in any pair within RADIUS.
-SEGMENTS = RADIUS + 2
+#: What a row that is placed costs, in pairs that are looked at.
+PLACING = 20
 
 _WORD = re.compile(r"\w+")
 _LOW = 2**63
@@ -35,7 +36,17 @@ def pivot_fingerprints(number: int = PIVOTS) -> list[int]:
     return [xxhash.xxh3_64_intdigest(f"pivot {k}") for k in range(number)]
 
 
-def segment_masks(segments: int = SEGMENTS) -> list[int]:
+def agreeing(rows: int, radius: int = RADIUS) -> int:
+    """How many of radius + n segments to join on, n of which agree in any near pair: the n of the least work for so many rows."""
+
+    def work(n: int) -> float:
+        ways = comb(radius + n, n)
+        return ways * rows * (PLACING + rows / 2 / 2 ** (64 * n / (radius + n)))
+
+    return min(range(1, 5), key=work)
+
+
+def segment_masks(segments: int) -> list[int]:
     edges = [round(64 * k / segments) for k in range(segments + 1)]
     return [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:])]
 
@@ -43,7 +54,7 @@ def segment_masks(segments: int = SEGMENTS) -> list[int]:
 class Fingerprints(dict):
     """Hashes of the words met so far, each expanded into 128 weighted signs when it is used."""
 
-    def __init__(self, most: int = 300_000) -> None:
+    def __init__(self, most: int = 100_000) -> None:
         super().__init__()
         self.most = most
 
@@ -68,17 +79,22 @@ class Fingerprints(dict):
         return int(halves[0]), int(halves[1])
 
 
+def _text_hash() -> Column:
+    return F.xxhash64("text")
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, a, b): the fingerprint's halves; documents without a word are left out."""
+    """(doc_id, h, a, b): a hash of the text and the fingerprint's halves; documents without a word are left out."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prints = Fingerprints()
         for batch in batches:
-            found = [(d, p) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if (p := prints.of(t))]
-            columns = [[d for d, _ in found], [p[0] for _, p in found], [p[1] for _, p in found]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "a", "b"])
+            found = [prints.of(t.as_py()) for t in batch.column(2)]
+            some = pa.array([p is not None for p in found])
+            halves = [pa.array([p[k] for p in found if p], pa.int64()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(some), batch.column(1).filter(some), *halves], names=["doc_id", "h", "a", "b"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(compute, "doc_id long, a long, b long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_hash().alias("h"), "text").mapInArrow(compute, "doc_id long, h long, a long, b long")
 
 
 def _distance(x: Column, y: Column) -> Column:
@@ -97,18 +113,20 @@ def with_pivot_table(df: DataFrame, number: int = PIVOTS) -> DataFrame:
     return df.withColumns(columns)
 
 
-def near_pairs(prints: DataFrame, radius: int = RADIUS, pivots: int = PIVOTS) -> DataFrame:
+def near_pairs(prints: DataFrame, radius: int = RADIUS, pivots: int = PIVOTS, agree: int = 2) -> DataFrame:
     """(x, y): the keys of all pairs of rows of `prints` (key, a, b) that are near, x < y; exact.
 
-    Within the radius two of radius + 2 segments of the fingerprints are equal,
-    so rows meet on each two segments' values, and a pair is taken up where its
-    first two equal segments meet. Of the rows that meet, the pairs whose
-    distances to some reference fingerprint differ by more than the radius are
-    discarded (the triangle inequality), and those left are verified.
+    Within the radius `agree` of radius + `agree` segments of the fingerprints
+    are equal, so rows meet on the values of each so many segments, and a pair
+    is taken up where its first equal segments meet. Of the rows that meet, the
+    pairs whose distances to some reference fingerprint differ by more than the
+    radius are discarded (the triangle inequality), and those left are
+    verified. The pairs are the same for any `agree`: more mean more copies of
+    a row and fewer that meet by chance.
     """
-    masks = segment_masks(radius + 2)
+    masks = segment_masks(radius + agree)
     value = [F.col("a").bitwiseAND(F.lit(_signed(m))) for m in masks]
-    meets = [F.struct(F.lit(k).alias("k"), F.lit(j).alias("j"), F.xxhash64(F.lit(k), value[i], value[j]).alias("meet")) for k, (i, j) in enumerate(combinations(range(len(masks)), 2))]
+    meets = [F.struct(F.lit(c[-1]).alias("j"), F.xxhash64(F.lit(k), *[value[i] for i in c]).alias("meet")) for k, c in enumerate(combinations(range(len(masks)), agree))]
     table = with_pivot_table(prints, pivots)
     kept = [c for c in table.columns if c.startswith("t")]
     rows = table.select("key", "a", "b", *kept, F.explode(F.array(*meets)).alias("m")).select("key", "a", "b", *kept, "m.j", "m.meet")
@@ -121,7 +139,7 @@ def near_pairs(prints: DataFrame, radius: int = RADIUS, pivots: int = PIVOTS) ->
     met = met.where((_distance(F.col("x.a"), F.col("y.a")) <= radius) & (_distance(F.col("x.b"), F.col("y.b")) <= 2 * radius))
     differing = F.col("x.a").bitwiseXOR(F.col("y.a"))
     equal_before = sum((F.when((F.col("x.j") > s) & (differing.bitwiseAND(F.lit(_signed(m))) == 0), 1).otherwise(0) for s, m in enumerate(masks)), F.lit(0))
-    return met.where(equal_before == 1).select(F.col("x.key").alias("x"), F.col("y.key").alias("y"))
+    return met.where(equal_before == agree - 1).select(F.col("x.key").alias("x"), F.col("y.key").alias("y"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -144,40 +162,54 @@ def components(edges: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("key"), F.col("v").alias("root"))
 
 
+def _classes(docs: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, h, a, b) of the documents, and (a, b, stays) of the fingerprints: the (doc_id, h) that stays of the group each is in."""
+    prints = written(fingerprints(docs.where("doc_id IS NOT NULL")), "prints")
+    first = prints.groupBy("a", "b").agg(F.min(F.struct("doc_id", "h")).alias("first"))
+    same = written(first.withColumn("key", F.monotonically_increasing_id()), "same")
+    groups = components(near_pairs(same.select("key", "a", "b"), radius, agree=agreeing(same.count(), radius)))
+    members = same.join(groups.unionByName(groups.select(F.col("root").alias("key"), "root").distinct()), "key").select("key", "root", "first")
+    stays = members.join(members.groupBy("root").agg(F.min("first").alias("stays")), "root").select("key", "stays")
+    return prints, same.join(stays, "key", "left").select("a", "b", F.coalesce("stays", "first").alias("stays"))
+
+
 def duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(doc_id, duplicate_of): each document that goes, and the one of its group that stays.
 
     Groups are the connected components of the near pairs; the smallest doc_id
-    stays. Documents with equal fingerprints, such as exact copies, are joined
-    first, so that of a thousand copies one meets the others' neighbours.
+    stays. Documents with equal fingerprints, such as exact copies, are one
+    class, so that of a thousand copies one meets the others' neighbours and
+    the components are those of classes.
 
     Defined results: null and empty texts, and texts without a word, are like
-    nothing; rows with a null doc_id are left out; rows that share a doc_id are
-    one document, near to what any of them is near to; ties don't arise, as
-    doc_ids are compared; an empty table gives an empty table. Other columns
-    are not read.
+    nothing; very long texts are read whole; rows with a null doc_id are left
+    out; rows that share a doc_id are documents of their own, told apart by a
+    hash of their text, and repeated rows are one; a group's row with the
+    smallest doc_id, then hash, stays; an empty table gives an empty table.
+    Other columns are not read, so their names can't clash.
     """
-    prints = written(fingerprints(docs.where("doc_id IS NOT NULL")), "prints")
-    same = written(prints.groupBy("a", "b").agg(F.min("doc_id").alias("key")), "same")
-    pairs = near_pairs(same, radius)
-    copies = prints.join(same, ["a", "b"]).where("doc_id <> key").select(F.col("key").alias("x"), F.col("doc_id").alias("y"))
-    groups = components(pairs.unionByName(copies))
-    return groups.select(F.col("key").alias("doc_id"), F.col("root").alias("duplicate_of"))
+    prints, classes = _classes(docs, radius)
+    gone = prints.join(classes, ["a", "b"]).where("doc_id <> stays.doc_id OR h <> stays.h")
+    return gone.groupBy("doc_id", "h", "stays").agg(F.count("*")).select("doc_id", F.col("stays.doc_id").alias("duplicate_of"))
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The documents without near-duplicates: of each group the smallest doc_id stays.
 
-    All columns are kept. Of rows that share a doc_id the one with the
-    smallest text stays, and rows with a null doc_id all do.
+    All columns are kept and may be of any type and name. Rows that share a
+    doc_id and have different texts stay, unless they are near-duplicates; of
+    rows that share both, one stays: the smallest as JSON. Rows with a null
+    doc_id all stay.
     """
-    gone_id = unused(docs, "__gone")
-    gone = duplicates(docs, radius).select(F.col("doc_id").alias(gone_id))
-    left = docs.join(gone, F.col("doc_id") == F.col(gone_id), "left_anti")
-    order = F.struct(F.coalesce(F.col("text"), F.lit("")).alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    unnamed = left.where("doc_id IS NULL")
-    one = left.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("id")).agg(F.min(order).alias("first")).select("first.row.*")
-    return one.unionByName(unnamed)
+    prints, classes = _classes(docs, radius)
+    id_, h, hash_, row = (unused(docs, c) for c in ("__gone", "__h", "__hash", "__row"))
+    gone = prints.join(classes, ["a", "b"]).where("doc_id <> stays.doc_id OR h <> stays.h").select(F.col("doc_id").alias(id_), F.col("h").alias(h))
+    hashed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row), "doc_id", _text_hash().alias(hash_))
+    left = hashed.join(gone, (F.col("doc_id") == F.col(id_)) & (F.col(hash_) == F.col(h)), "left_anti")
+    # JSON, as maps can't be compared
+    others = F.to_json(F.struct(F.lit(0).alias("_"), *[F.col(f"{row}.`{c}`") for c in docs.columns if c not in ("doc_id", "text")]))
+    one = left.where("doc_id IS NOT NULL").groupBy("doc_id", hash_).agg(F.min_by(row, others).alias(row))
+    return one.select(f"{row}.*").unionByName(left.where("doc_id IS NULL").select(f"{row}.*"))
 
 
 def op8_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

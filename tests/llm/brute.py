@@ -5,7 +5,9 @@ import math
 import re
 from collections import defaultdict
 
-from domweave.llm.simhash import RADIUS, Fingerprints
+import xxhash
+
+RADIUS = 7
 
 
 def lines(docs):
@@ -23,11 +25,28 @@ def lines(docs):
     return out
 
 
+def fingerprint(text):
+    """128 bits, each the weighted vote of the distinct words' hashes; None without a word."""
+    words = set(re.findall(r"\w+", (text or "").lower()))
+    votes = [0] * 128
+    for w in words:
+        h = xxhash.xxh3_128_intdigest(w)
+        for k in range(128):
+            votes[k] += len(w) if h >> (127 - k) & 1 else -len(w)
+    return sum(1 << (127 - k) for k, v in enumerate(votes) if v > 0) if words else None
+
+
+def spark_hash(text):
+    h = xxhash.xxh64_intdigest(text or "", 42)
+    return h - 2**64 if h >= 2**63 else h
+
+
 def near(docs, radius=RADIUS):
-    """{doc_id: duplicate_of}, comparing every pair."""
-    of = Fingerprints().of
-    prints = [(d, p) for d, t in docs if d is not None and (p := of(t))]
-    root = {d: d for d, _ in docs}
+    """{(doc_id, text): (doc_id, text) that stays}, of those that go, comparing every pair."""
+    known = {t: fingerprint(t) for _, t in docs}
+    nodes = [(x, known[x[1]]) for x in {(d, t) for d, t in docs if d is not None} if known[x[1]] is not None]
+    root = {x: x for x, _ in nodes}
+    order = lambda x: (x[0], spark_hash(x[1]))
 
     def find(x):
         while root[x] != x:
@@ -35,13 +54,12 @@ def near(docs, radius=RADIUS):
             x = root[x]
         return x
 
-    mask = 2**64 - 1
-    for k, (d, (a, b)) in enumerate(prints):
-        for e, (c, f) in prints[:k]:
-            if ((a ^ c) & mask).bit_count() <= radius and ((b ^ f) & mask).bit_count() <= 2 * radius:
-                x, y = sorted((find(d), find(e)))
-                root[y] = x
-    return {d: find(d) for d in root if d is not None and find(d) != d}
+    for k, (x, p) in enumerate(nodes):
+        for y, q in nodes[:k]:
+            if ((p ^ q) >> 64).bit_count() <= radius and ((p ^ q) & (2**64 - 1)).bit_count() <= 2 * radius:
+                first, last = sorted((find(x), find(y)), key=order)
+                root[last] = first
+    return {x: find(x) for x in root if find(x) != x}
 
 
 def spans(docs, least):

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from domweave.llm import line_dedup, simhash, substring_dedup
 from tests.llm import brute
@@ -42,17 +43,28 @@ def test_runs_are_compacted(spark):
 
 
 def test_near(docs, rows, none):
-    got = {r.doc_id: r.duplicate_of for r in simhash.duplicates(docs).collect()}
+    got = sorted((r.doc_id, r.duplicate_of) for r in simhash.duplicates(docs).collect())
     want = brute.near(pairs(rows))
-    assert got == want and len(want) >= 15
+    assert got == sorted((d, e) for (d, _), (e, _) in want.items()) and len(want) >= 15
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
-    ids = sorted(r.doc_id for r in kept.where("doc_id IS NOT NULL").select("doc_id").collect())
-    assert ids == sorted({r[0] for r in rows if r[0] is not None} - set(want))
+    named = sorted((r.doc_id, r.text or "") for r in kept.where("doc_id IS NOT NULL").collect())
+    assert named == sorted((d, t or "") for d, t in {x for x in pairs(rows) if x[0] is not None} - set(want))
     assert kept.where("doc_id IS NULL").count() == 2
     assert simhash.duplicates(none).count() == 0 and simhash.keep_one(none).count() == 0
 
 
+def test_rows_that_share_an_id(spark):
+    text = " ".join(f"word{k}" for k in range(50))
+    rows = [(1, text, "a"), (1, text, "b"), (1, text + " end", "c"), (1, "quite another text", "d"), (2, "quite another text", "e"), (2, "third thing", "f"), (3, None, "g"), (3, None, "g"), (3, "...", "h")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, x string").withColumns({"m": F.create_map(F.lit("k"), "x"), "a.b": F.array(F.create_map("x", F.lit(1))), "__row": F.lit(1), "h": F.lit(2), "a": F.lit(3)})
+    out = simhash.keep_one(df)
+    assert out.columns == df.columns
+    stays = min((text, text + " end"), key=brute.spark_hash)
+    x = "a" if stays == text else "c"
+    assert sorted((r.doc_id, r.text or "", r.x, r.m) for r in out.collect()) == sorted([(1, stays, x, {"k": x}), (1, "quite another text", "d", {"k": "d"}), (2, "third thing", "f", {"k": "f"}), (3, "", "g", {"k": "g"}), (3, "...", "h", {"k": "h"})])
+
+
 def test_near_pairs_are_all_found(spark):
     rng = random.Random(2)
     prints = []
@@ -68,9 +80,10 @@ def test_near_pairs_are_all_found(spark):
             prints.append((c, d))
     signed = lambda x: x - 2**64 if x >= 2**63 else x
     df = spark.createDataFrame([(k, signed(a), signed(b)) for k, (a, b) in enumerate(prints)], "key bigint, a bigint, b bigint")
-    got = sorted(tuple(r) for r in simhash.near_pairs(df).collect())
     want = [(i, j) for j, (c, d) in enumerate(prints) for i, (a, b) in enumerate(prints[:j]) if (a ^ c).bit_count() <= simhash.RADIUS and (b ^ d).bit_count() <= 2 * simhash.RADIUS]
-    assert got == sorted(want)
+    for agree in (1, 2, 3):
+        assert sorted(tuple(r) for r in simhash.near_pairs(df, agree=agree).collect()) == sorted(want)
+    assert [simhash.agreeing(n) for n in (10**5, 10**8)] == [2, 4] and simhash.agreeing(10**7) == 3
 
 
 def test_components_of_chains(spark):

@@ -16,8 +16,7 @@ def tables(spark, path, rows, labels):
 
 def test_pipeline(spark, rows, tmp_path):
     toxic = [(1000 + k, f"w{k} w{k + 1} words. {INSULT} More of w{k * 3} here.", "en", "web", 1, "k", 1, "r", "t", "c") for k in range(40)]
-    # of rows that share a doc_id it is open which text a near group is named by, so the ids are unique here but for the repeated rows
-    some = [r for r in rows if r[1] != "another text of one id"] + toxic
+    some = rows + toxic
     labels = [(r[0], 1, 0) for r in rows if r[0] is not None] + [(r[0], 0, 1) for r in toxic[:30]]
     path = tables(spark, tmp_path / "sf", some, labels)
 
@@ -28,11 +27,7 @@ def test_pipeline(spark, rows, tmp_path):
     deduplicated = brute.lines([(d, t) for d, t, _ in left])
     kept = [(d, new, s) for (d, old, s), (_, new) in zip(left, deduplicated) if not (old or "").strip(" \t\r\n") or (new or "").strip(" \t\r\n")]
     gone = brute.near([(d, t) for d, t, _ in kept])
-    one = {}
-    for d, t, s in kept:
-        if d is not None and d not in gone and (d not in one or (t or "") < (one[d][1] or "")):
-            one[d] = (d, t, s)
-    unique = [x for x in kept if x[0] is None] + list(one.values())
+    unique = [x for x in kept if x[0] is None] + list({(d, t): (d, t, s) for d, t, s in kept if d is not None and (d, t) not in gone}.values())
     copied = [(d, t) for (d, t, s), c in zip(unique, brute.copies(unique)) for _ in range(c[4])]
     lengths = [brute.count(t) for _, t in copied]
 
