@@ -2,34 +2,44 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from domweave.plans.shared import shared_folder
+
 #: A token, for counting: a run of characters other than these four. The same in Java and RE2.
 TOKEN = "[^ \\t\\n\\r]+"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: the session's checkpoint directory.
-
-    Where none is set, a temporary folder serves a local master; on a cluster that is an error.
-    """
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="shared-")
-        context.setCheckpointDir(folder)
-    return str(context.getCheckpointDir())
-
+#: Paths given out within each `temporary`, the innermost last.
+_given: list[list[str]] = []
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if _given:
+        _given[-1].append(path)
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes the folder, if it's there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Removes, at its end, the tables that operators wrote to the shared folder within it. Their results must have been written by then."""
+    _given.append([])
+    try:
+        yield
+    finally:
+        for path in _given.pop():
+            delete(spark, path)
 
 
 def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping, Sequence
 from itertools import combinations_with_replacement
 
@@ -100,12 +101,18 @@ def solve_rates(cells: DataFrame, columns: Sequence[str], targets: Sequence[Mapp
         tilt = sum((F.coalesce(F.col(f"__m{k}"), F.lit(0.0)) for k in range(len(columns))), F.lit(0.0))
         return out.withColumn("rate", F.exp(tilt))
 
-    for _ in range(iterations if live.any() else 0):
+    def dual() -> tuple[float, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The dual's value, its gradient, and the Hessian's entries (i, j, x), of one aggregation over the cells."""
         pairs = F.array(*[F.struct(F.least(f"__i{a}", f"__i{c}").alias("i"), F.greatest(f"__i{a}", f"__i{c}").alias("j")) for a, c in combinations_with_replacement(range(len(columns)), 2)])
         sums = tilted().where("tokens > 0").select(F.explode(pairs).alias("p"), (F.col("tokens") * F.col("rate")).alias("x")).groupBy("p.i", "p.j").agg(F.sum("x").alias("x")).collect()
-        i, j, x = np.array([r.i for r in sums]), np.array([r.j for r in sums]), np.array([r.x for r in sums])
-        gradient = np.bincount(i[i == j], x[i == j], len(index)) - b
-        if np.abs(gradient[live]).max() <= tolerance * total:
+        i, j, x = np.array([r.i for r in sums], dtype=int), np.array([r.j for r in sums], dtype=int), np.array([r.x for r in sums], dtype=float)
+        held = np.bincount(i[i == j], x[i == j], len(index))
+        value = held.sum() / len(columns) - multiplier[live] @ b[live]
+        return value, held - b, i, j, x
+
+    value, gradient, i, j, x = dual() if live.any() else (0.0, np.zeros(len(index)), *[np.zeros(0, dtype=int)] * 3)
+    for _ in range(iterations):
+        if not live.any() or np.abs(gradient[live]).max() <= tolerance * total:
             break
         if len(index) <= MOST_DENSE:
             hessian = np.zeros((len(index), len(index)))
@@ -114,7 +121,16 @@ def solve_rates(cells: DataFrame, columns: Sequence[str], targets: Sequence[Mapp
         else:
             place, both = np.cumsum(live) - 1, live[i] & live[j]
             step = _sparse_step(place[i[both]], place[j[both]], x[both] / total, gradient[live] / total)
-        multiplier[live] -= np.clip(step, -2, 2)
+        step = np.clip(step, -2, 2)
+        start, before, promised = multiplier[live].copy(), value, gradient[live] @ step
+        for halved in range(12):
+            multiplier[live] = start - step / 2**halved
+            value, gradient, i, j, x = dual()
+            if value <= before - 1e-4 * promised / 2**halved + 1e-12 * total:
+                break
+    else:
+        if live.any() and np.abs(gradient[live]).max() > 1e-6 * total:
+            warnings.warn("the token constraints contradict each other, or the Newton iterations don't converge", RuntimeWarning, stacklevel=2)
     return tilted().select(*columns, "rate")
 
 
@@ -123,20 +139,22 @@ def mix_sources(docs: DataFrame, weights: Mapping | None = None, power: float =
 
     `weights` are the sources' shares of the tokens after mixing, up to a
     factor; without them a source's weight is its token count to the `power`.
-    `balance` adds token constraints on other columns in the same way. The
-    number of tokens stays as it is. The fraction of a rate becomes one more
-    copy for the documents whose `unit_hash` of doc_id is below it, so that a
-    document's copies don't depend on where or when its row is read.
+    `balance` adds token constraints on other columns, of any name, in the same
+    way. The number of tokens stays as it is. The fraction of a rate becomes
+    one more copy for the documents whose `unit_hash` of doc_id is below it, so
+    that a document's copies don't depend on where or when its row is read.
 
     Defined results: null or empty text has 0 tokens and takes its source's
-    rate, 1 where a source has no tokens; a null source is a source of its
-    own; a source without weight in `weights` gets rate 0; repeated rows are
-    counted and drawn alike; where constraints contradict each other the rates
-    are those of the last Newton iteration; an empty table gives an empty
-    table. Other columns are not read.
+    rate, 1 where a source has no tokens; very long texts are counted whole; a
+    null source is a source of its own; a source without weight in `weights`
+    gets rate 0; repeated rows are counted and drawn alike; where constraints
+    contradict each other the rates are those of the last Newton iteration and
+    a warning says so; an empty table gives an empty table. Other columns are
+    not read, so their names can't clash.
     """
-    columns = ["source", *(balance or {})]
-    counted = docs.select("doc_id", *columns, token_count("text").alias("n_tokens"))
+    names = ["source", *(balance or {})]
+    columns = [f"k{n}" for n in range(len(names))]
+    counted = docs.select("doc_id", *[F.col(f"`{c}`").alias(k) for c, k in zip(names, columns)], token_count("text").alias("n_tokens"))
     counted = written(counted, "tokens")
     cells = written(counted.groupBy(*columns).agg(F.sum("n_tokens").alias("tokens")), "cells")
     rates = solve_rates(cells, columns, [weights, *(balance or {}).values()], power)
@@ -144,22 +162,38 @@ def mix_sources(docs: DataFrame, weights: Mapping | None = None, power: float =
     joined = counted.alias("d").join(rates.alias("r"), on, "left")
     whole = F.floor("rate")
     copies = whole + F.when(F.col("u") < F.col("rate") - whole, 1).otherwise(0)
-    return joined.select("d.doc_id", "d.source", "n_tokens", F.col("rate"), unit_hash("d.doc_id").alias("u")).select(
+    return joined.select("d.doc_id", F.col("d.k0").alias("source"), "n_tokens", F.col("rate"), unit_hash("d.doc_id").alias("u")).select(
         "doc_id", "source", "n_tokens", F.round("rate", 6).alias("rate"), copies.cast("long").alias("copies")
     )
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:
-    """Copies of every document that flatten the sources' token shares to the square root."""
-    return mix_sources(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")))
-
-
-SQL = """
-WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^ \\t\\n\\r]+')), 0) AS n_tokens FROM documents),
-s AS (SELECT source, sum(n_tokens)::DOUBLE AS t FROM d GROUP BY source),
-r AS (SELECT source, CASE WHEN t > 0 THEN sqrt(t) * (SELECT sum(t) FROM s) / (SELECT sum(sqrt(t)) FROM s) / t ELSE 1.0 END AS rate FROM s),
+    """Copies of every document that flatten the token shares of sources and of languages to the square root, both at once."""
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source", "lang"))
+    return mix_sources(docs, balance={"lang": None})
+
+
+def _raking(rounds: int = 60) -> str:
+    """SQL that scales the cells' rates to the sources' tokens and to the languages' by turns, which has the dual's optimum as its limit."""
+    steps = ["r0 AS MATERIALIZED (SELECT source, lang, t, 1.0::DOUBLE AS rate FROM c)"]
+    for n in range(rounds):
+        column, target = ("source", "ts") if n % 2 == 0 else ("lang", "tl")
+        steps.append(
+            f"r{n + 1} AS MATERIALIZED (SELECT r.source, r.lang, r.t, CASE WHEN m.now > 0 THEN r.rate * x.want / m.now ELSE r.rate END AS rate FROM r{n} r "
+            f"JOIN (SELECT {column}, sum(t * rate) AS now FROM r{n} GROUP BY {column}) m ON r.{column} IS NOT DISTINCT FROM m.{column} "
+            f"JOIN {target} x ON r.{column} IS NOT DISTINCT FROM x.{column})"
+        )
+    return ",\n".join(steps)
+
+
+SQL = f"""
+WITH d AS (SELECT doc_id, source, lang, coalesce(len(regexp_extract_all(text, '[^ \\t\\n\\r]+')), 0) AS n_tokens FROM documents),
+c AS MATERIALIZED (SELECT source, lang, sum(n_tokens)::DOUBLE AS t FROM d GROUP BY source, lang),
+ts AS MATERIALIZED (SELECT source, sqrt(sum(t)) * (SELECT sum(t) FROM c) / (SELECT sum(sqrt(x)) FROM (SELECT sum(t) AS x FROM c GROUP BY source)) AS want FROM c GROUP BY source),
+tl AS MATERIALIZED (SELECT lang, sqrt(sum(t)) * (SELECT sum(t) FROM c) / (SELECT sum(sqrt(x)) FROM (SELECT sum(t) AS x FROM c GROUP BY lang)) AS want FROM c GROUP BY lang),
+{_raking()},
 u AS (SELECT d.*, rate, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u
-  FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source)
+  FROM d JOIN r60 r ON d.source IS NOT DISTINCT FROM r.source AND d.lang IS NOT DISTINCT FROM r.lang)
 SELECT doc_id, source, n_tokens::BIGINT AS n_tokens, round(rate, 6) AS rate,
   (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END)::BIGINT AS copies FROM u
 """

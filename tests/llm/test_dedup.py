@@ -33,13 +33,39 @@ def test_lines_in_any_number_of_batches(spark):
     assert sorted((r.doc_id, r.text) for r in out.collect()) == sorted(brute.lines(rows))
 
 
-def test_runs_are_compacted(spark):
-    hashes = lambda ks: spark.createDataFrame([(k, -k, k, 0) for k in ks], "h1 bigint, h2 bigint, doc_id bigint, line_no int")
-    runs = line_dedup.SortedRuns(hashes([]), fanout=2)
+def test_runs_are_compacted_and_opened_again(spark, tmp_path):
+    hashes = lambda ks: spark.createDataFrame([(k, -k, k, 0) for k in ks], line_dedup.RUN)
+    runs = line_dedup.SortedRuns(spark, str(tmp_path / "a b.runs"), fanout=2)
     for batch in ([1, 2], [2, 3], [4], [1, 5], [6]):
         runs.add(hashes(batch))
     assert [len(level) for level in runs.levels] == [1, 0, 1]
     assert sorted(r.h1 for r in runs.contents().collect()) == [1, 2, 3, 4, 5, 6]
+    runs.save()
+    runs.vacuum()
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "5")
+        again = line_dedup.SortedRuns(spark, str(tmp_path / "a b.runs"), fanout=2)
+        assert again.levels == runs.levels and again.buckets == runs.buckets
+        again.add(hashes([6, 7, 7]))
+        assert sorted(r.h1 for r in again.contents(again.added).collect()) == [7] and again.contents().count() == 7
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_lines_of_earlier_calls_go(spark, tmp_path):
+    path = str(tmp_path / "runs")
+    first = spark.createDataFrame([(1, "a\nb"), (None, "z\nb"), (2, "c\nc")], "doc_id bigint, text string")
+    second = spark.createDataFrame([(1, "a\nd\nz"), (3, "d\n \nc"), (4, None)], "doc_id bigint, text string")
+    assert sorted((r.doc_id or 0, r.text) for r in line_dedup.dedup_lines(first, path=path).collect()) == [(0, "z\nb"), (1, "a"), (2, "c")]
+    out = line_dedup.dedup_lines(second, path=path).collect()
+    assert sorted((r.doc_id, r.text or "") for r in out) == [(1, "d"), (3, " "), (4, "")]
+
+
+def test_equal_lines_meet_before_they_move(spark):
+    df = spark.createDataFrame([(k, "hot\nline") for k in range(20)], "doc_id bigint, text string")
+    plan = line_dedup.firsts(line_dedup.line_hashes(df))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("HashAggregate") == 2 and "SortAggregate" not in plan
 
 
 def test_near(docs, rows, none):

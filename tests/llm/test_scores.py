@@ -262,6 +262,23 @@ def test_targets_are_met(spark):
         mixing.mix_sources(df, weights={"z": 1})
 
 
+def test_balanced_columns_of_any_name(spark):
+    rows = [(k, "t " * (1 + k % 5), f"s{k % 3}", k % 2, k % 7 == 0) for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, tokens int, `a.b` boolean").withColumns({"rate": F.col("tokens"), "n_tokens": F.lit("x"), "copies": F.lit(1)})
+    plain = df.select("doc_id", "text", "source", F.col("tokens").alias("x"), F.col("`a.b`").alias("y"))
+    got = mixing.mix_sources(df, balance={"tokens": None, "a.b": {True: 1, False: 3}}).collect()
+    want = mixing.mix_sources(plain, balance={"x": None, "y": {True: 1, False: 3}}).collect()
+    assert sorted(got) == sorted(want) and len(got) == 400
+    assert mixing.mix_sources(df, balance={"rate": None, "n_tokens": None}).count() == 400
+
+
+def test_constraints_that_contradict_each_other(spark):
+    rows = [(k, "t", "ab"[k % 2], "ab"[k % 2]) for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string")
+    with pytest.warns(RuntimeWarning):
+        assert mixing.mix_sources(df, weights={"a": 3, "b": 1}, balance={"lang": {"a": 1, "b": 3}}).where("rate > 0").count() == 20
+
+
 def test_any_number_of_sources(spark):
     rows = [(k, "t " * (1 + k % 7), f"s{k % 4500}") for k in range(6000)] + [(6000 + k, None if k % 2 else "", f"z{k}") for k in range(500)] + [(7000, "t", None)]
     key = lambda x: tuple((v is not None, v or 0) for v in x)
