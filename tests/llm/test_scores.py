@@ -48,16 +48,53 @@ def test_toxicity(spark, none):
 
 
 def test_noisy_or():
-    model = {"": -3.0, "=bad": 4.0}
+    model = {"": -2.0, "=bad": 3.0, "=poor": 1.0}
     s = toxicity.Scorer(model)
     p = lambda z: 1 / (1 + math.exp(-z))
-    assert s.probability("Bad one. Good one. good ONE!") == pytest.approx(1 - (1 - p(1)) * (1 - p(-3)))
+    assert s.probability("Bad one. Good one. good ONE!") == pytest.approx(1 - (1 - p(1)) * (1 - p(-2)))
+    assert s.probability("Bad one. Poor one. bad ONE!") == pytest.approx(1 - (1 - p(1)) * (1 - p(-1)))
     assert s.probability(None) == s.probability("") == s.probability("1 2 ...") == 0
     text = "İyi. Bad one"
     spans = s.spans(text)
     assert [text[x["start"] : x["end"]] for x in spans] == [" Bad one"]
 
 
+def test_length_alone_is_not_toxic():
+    s = toxicity.Scorer({"": -4.0, "=bad": 7.0, "=odd": 1.0})
+    words = [f"w{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}" for k in range(17_000)]
+    text = ". ".join(f"{w} odd" for w in words)
+    assert s.probability(text) == 0 and s.probability(text + ". bad") == pytest.approx(1 / (1 + math.exp(-3)))
+
+
+def test_gradient_against_differences():
+    """The objective against a plain noisy-or, and its gradient against differences."""
+    texts = ["bad word here. fine word", "fine text. other text", "bad bad. worse", "", "other one. fine"]
+    y = np.array([1, 0, 1, 0, 0], dtype=bool)
+    bags = toxicity.Bags(texts, 1)
+    rng = np.random.default_rng(3)
+    w, bias, noise = rng.normal(size=len(bags.columns)), -1.5, 0.1
+    names = list(bags.columns)
+
+    def plain(w, bias):
+        total, model = 0.0, dict(zip(names, w))
+        for text, label in zip(texts, y):
+            left = 1.0
+            for sentence in {frozenset(x.split()) for x in text.split(".")}:
+                z = bias + sum(model[f] for word in sentence for f in toxicity.features(word))
+                left *= 1 - 1 / (1 + math.exp(-z))
+            told = noise + (1 - 2 * noise) * (1 - left)
+            total -= math.log(told if label else 1 - told) * 0.5 / (2 if label else 3)
+        return total
+
+    loss, of_w, of_bias = toxicity.objective(bags, y, w, bias, noise)
+    assert loss == pytest.approx(plain(w, bias), rel=1e-9)
+    step = 1e-6
+    for k in range(len(w)):
+        e = np.eye(len(w))[k] * step
+        assert of_w[k] == pytest.approx((plain(w + e, bias) - plain(w - e, bias)) / (2 * step), abs=1e-6)
+    assert of_bias == pytest.approx((plain(w, bias + step) - plain(w, bias - step)) / (2 * step), abs=1e-6)
+
+
 # personal data
 
 CASES = [
@@ -346,32 +383,67 @@ def test_segment_statistics_bound_the_distance(dimension, seed):
 
 # the archive
 
+def _stored(store):
+    return sorted(bytes(r.payload) for r in store.payloads.select("payload").collect())
+
+
 def test_archive(spark):
     pages = [(1, "http://a/", "<p>x</p>"), (2, "http://b/", "<p>x</p>"), (3, None, "<p>x</p>"), (4, "http://d/", None), (5, "http://e/", ""), (1, "http://a/", "<p>x</p>"), (None, "http://f/", "é" * 200_000)]
-    records = warc.page_records(spark.createDataFrame(pages, "page_id bigint, url string, html string").withColumn("n_bytes_x", F.lit(1)))
+    records = warc.page_records(spark.createDataFrame(pages, "page_id bigint, url string, html string"))
     store = warc.archive(records)
     assert store.payloads.count() == 3 and store.headers.count() == 7
-    back = warc.reconstruct(store).collect()
-    assert all(r.exact for r in back) and len(back) == 7
     want = sorted(bytes(r.header) + bytes(r.payload or b"") + b"\r\n\r\n" for r in records.collect())
-    assert sorted(bytes(r.record) for r in back) == want
+    for hot in (warc.HOT, 1):  # with 1, the payload of four records is copied for several tasks
+        back = warc.reconstruct(store, hot).collect()
+        assert all(r.exact for r in back) and len(back) == 7
+        assert sorted(bytes(r.record) for r in back) == want
     empty = warc.archive(records.limit(0))
     assert warc.reconstruct(empty).count() == 0
-    with pytest.raises(ValueError):
-        warc.archive(records.withColumn("digest", F.lit("x")))
+    bad = warc.archive(records.limit(1).withColumn("header", F.lit(None).cast("binary")))
+    assert [(r.record, r.exact) for r in warc.reconstruct(bad).collect()] == [(None, False)]
+
+
+def test_archive_is_added_to(spark, tmp_path):
+    path = str(tmp_path / "an 'archive' of.mine")
+    rows = [(k, f"h{k}".encode(), f"p{k % 3}".encode()) for k in range(6)]
+    schema = "id int, header binary, payload binary"
+    warc.archive(spark.createDataFrame(rows, schema), path)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "3")  # as another session might
+        store = warc.Archive(spark, path)
+        store.append(spark.createDataFrame(rows, schema))
+        store.append(spark.createDataFrame([(9, b"h9", b"new"), (10, b"h10", None), (11, b"h11", b"p0")], schema))
+        assert _stored(store) == [b"new", b"p0", b"p1", b"p2"]
+        back = warc.reconstruct(warc.Archive(spark, path)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert all(r.exact for r in back) and sorted(r.id for r in back) == sorted([*range(6)] * 2 + [9, 10, 11])
+
+
+def test_key_columns_of_any_name(spark):
+    names = ["digest", "record_digest", "n_bytes", "record", "exact", "key", "a.b", "mark", "__n"]
+    df = spark.createDataFrame([(b"h", b"p"), (b"i", b"p")], "header binary, payload binary").withColumns({n: F.lit(n) for n in names})
+    back = warc.reconstruct(warc.archive(df))
+    assert back.columns == [*names, "digest_", "n_bytes_", "record_", "record_digest_", "exact_"]
+    assert all(r["exact_"] and r["n_bytes_"] == 1 and all(r[n] == n for n in names) for r in back.collect())
+    assert warc.reconstruct(warc.archive(df.select("header", "payload"))).columns == ["digest", "n_bytes", "record", "record_digest", "exact"]
 
 
 def test_files(spark, tmp_path):
     info = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
     page = b"WARC/1.0\r\ncontent-type: application/http; msgtype=response\r\nContent-Length: 30\r\n\r\nHTTP/1.1 200 OK\r\nA: b\r\n\r\n\r\n\r\nx\r\n\r\n"
+    bad = b"WARC/1.0\r\nContent-Length: 1e2\r\n\r\nsome bytes\r\n\r\n"
     (tmp_path / "a.warc").write_bytes(info + page + info[:-6])
     (tmp_path / "b.warc.gz").write_bytes(gzip.compress(info) + gzip.compress(page))
     (tmp_path / "c.warc").write_bytes(b"")
+    (tmp_path / "d.warc").write_bytes(info + bad + page)
     records = warc.read_warc(spark, str(tmp_path))
     rows = records.collect()
-    assert len(rows) == 4 and {bytes(r.payload) for r in rows} == {b"hello", b"\r\n\r\nx"}
+    assert len(rows) == 7 and {bytes(r.payload) for r in rows if r.payload is not None} == {b"hello", b"\r\n\r\nx"}
+    assert [bytes(r.header) for r in rows if r.error] == [bad[:-4]]
     whole = sorted(bytes(r.record) for r in warc.reconstruct(warc.archive(records)).collect())
-    assert whole == sorted([info, page] * 2)
+    assert whole == sorted([info, page] * 3 + [bad])
 
 
 def test_cut_off_members():
