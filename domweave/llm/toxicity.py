@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
+import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,12 +21,15 @@ SAMPLE = 2500
 #: A document whose probability reaches this is toxic; so is a sentence.
 THRESHOLD = 0.5
 
+#: A sentence less likely than this counts for nothing in its document, so that length alone makes none toxic.
+FLOOR = 0.5
 #: The share of labels of either class that are taken to be wrong.
-NOISE = 0.05
+NOISE = 0.02
 
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _WORD = re.compile(r"[^\W\d_]+")
 _PREFIXES = (4, 5, 6)
+_LEAST = math.log(FLOOR / (1 - FLOOR))
 
 
 def features(word: str) -> list[str]:
@@ -33,7 +37,42 @@ def features(word: str) -> list[str]:
     return [f"={word}", *(f"{word[:k]}*" for k in _PREFIXES if len(word) > k)]
 
 
-def fit(texts: list[str], labels: np.ndarray, epochs: int = 150, least_documents: int = 8, l1: float = 3e-4) -> dict[str, float]:
+class Bags:
+    """Texts as bags of sentences, and those as sets of words, all by number in flat arrays."""
+
+    def __init__(self, texts: list[str], least_documents: int) -> None:
+        words: dict[str, int] = {}
+        flat, lengths, document, number = array("i"), array("i"), array("i"), Counter()
+        for k, text in enumerate(texts):
+            bag = {frozenset(_WORD.findall(s)) for s in _SENTENCE.findall(text.lower())} or {frozenset()}
+            number.update({f for w in frozenset().union(*bag) for f in features(w)})
+            for sentence in sorted(map(sorted, bag)):
+                flat.extend([words.setdefault(w, len(words)) for w in sentence])
+                lengths.append(len(sentence))
+                document.append(k)
+        self.columns = {f: k for k, f in enumerate(sorted(f for f, n in number.items() if n >= least_documents))}
+        pairs = [(k, self.columns[f]) for w, k in words.items() for f in features(w) if f in self.columns]
+        self.of_word, self.of_column = np.array(pairs, dtype=np.int32).reshape(-1, 2).T
+        self.word, self.document = np.array(flat, dtype=np.int32), np.array(document, dtype=np.int32)
+        self.sentence = np.repeat(np.arange(len(lengths), dtype=np.int32), np.array(lengths))
+        self.sizes = len(words), len(lengths), len(texts)
+
+
+def objective(bags: Bags, y: np.ndarray, w: np.ndarray, bias: float, noise: float = NOISE) -> tuple[float, np.ndarray, float]:
+    """The negative mean log likelihood of the labels, each class with half of the weight, and its gradient by weights and bias."""
+    words, sentences, texts = bags.sizes
+    share = np.where(y, 0.5 / max(1, y.sum()), 0.5 / max(1, (~y).sum()))
+    z = bias + np.bincount(bags.sentence, np.bincount(bags.of_word, w[bags.of_column], words)[bags.word], sentences)
+    a = np.maximum(np.bincount(bags.document, np.logaddexp(0, z), texts), 1e-9)
+    none = np.exp(-a)  # the chance that no sentence is toxic
+    told = noise + (1 - 2 * noise) * (1 - none)
+    of_a = share * (1 - 2 * noise) * none * np.where(y, -1 / told, 1 / (1 - told))
+    of_z = of_a[bags.document] / (1 + np.exp(-np.maximum(z, -500)))
+    of_word = np.bincount(bags.word, of_z[bags.sentence], words)
+    return -float(share @ np.log(np.where(y, told, 1 - told))), np.bincount(bags.of_column, of_word[bags.of_word], len(w)), float(of_z.sum())
+
+
+def fit(texts: list[str], labels: np.ndarray, epochs: int = 150, least_documents: int = 8, l1: float = 3e-4, noise: float = NOISE) -> dict[str, float]:
     """Weights by feature, and the bias at ''.
 
     A sentence's logit is the bias plus the weights of its words, each counted
@@ -41,53 +80,32 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 150, least_documents
     over its distinct sentences. Labels are taken to be wrong at the rate
     `NOISE`, so that a document without any reason for its label can't bend the
     weights without bound. The likelihood of the labels is maximised by Adam with
-    a proximal step for the L1 penalty, each class with half of the weight.
+    a proximal step for the L1 penalty, until it gains next to nothing.
     """
-    bags = [{frozenset(_WORD.findall(s)) for s in _SENTENCE.findall(t.lower())} or {frozenset()} for t in texts]
-    bags = [sorted(sorted(s) for s in bag) for bag in bags]
-    number: Counter[str] = Counter()
-    for bag in bags:
-        number.update({f for w in {w for s in bag for w in s} for f in features(w)})
-    column = {f: k for k, f in enumerate(sorted(f for f, n in number.items() if n >= least_documents))}
-    of_word: dict[str, list[int]] = {}
-    flat: list[int] = []
-    lengths: list[int] = []
-    for bag in bags:
-        for s in bag:
-            before = len(flat)
-            for w in s:
-                if w not in of_word:
-                    of_word[w] = [column[f] for f in features(w) if f in column]
-                flat += of_word[w]
-            lengths.append(len(flat) - before)
-    index, size = np.array(flat, dtype=np.int32), np.array(lengths)
-    sentence = np.repeat(np.arange(len(size), dtype=np.int32), size)
-    document = np.repeat(np.arange(len(bags)), [len(bag) for bag in bags])
-    y = np.asarray(labels, dtype=bool)
-    share = np.where(y, 0.5 / max(1, y.sum()), 0.5 / max(1, (~y).sum()))
-    w, bias = np.zeros(len(column)), -4.0
-    m, v = np.zeros(len(column) + 1), np.zeros(len(column) + 1)
+    bags, y = Bags(texts, least_documents), np.asarray(labels, dtype=bool)
+    w, bias = np.zeros(len(bags.columns)), -4.0
+    m, v, best = np.zeros(len(w) + 1), np.zeros(len(w) + 1), np.inf
     for epoch in range(1, epochs + 1):
-        z = bias + np.bincount(sentence, weights=w[index], minlength=len(size))
-        a = np.maximum(np.bincount(document, weights=np.logaddexp(0, z), minlength=len(bags)), 1e-9)
-        none = np.exp(-a)  # the chance that no sentence is toxic
-        told = NOISE + (1 - 2 * NOISE) * (1 - none)
-        of_a = share * (1 - 2 * NOISE) * none * np.where(y, -1 / told, 1 / (1 - told))
-        of_z = of_a[document] / (1 + np.exp(-np.maximum(z, -500)))
-        gradient = np.append(np.bincount(index, weights=of_z[sentence], minlength=len(column)), of_z.sum())
+        loss, of_w, of_bias = objective(bags, y, w, bias, noise)
+        if epoch % 15 == 0:
+            total = loss + l1 * np.abs(w).sum()
+            if total > best - 5e-4:
+                break
+            best = total
+        gradient = np.append(of_w, of_bias)
         m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient**2
         scale = 0.1 / (np.sqrt(v / (1 - 0.99**epoch)) + 1e-4)
         step = scale * m / (1 - 0.9**epoch)
         w = w - step[:-1]
         w = np.sign(w) * np.maximum(np.abs(w) - scale[:-1] * l1, 0)
         bias = min(bias - step[-1], -2.0)
-    return {"": float(bias)} | {f: round(float(w[k]), 5) for f, k in column.items() if abs(w[k]) > 1e-4}
+    return {"": float(bias)} | {f: round(float(w[k]), 5) for f, k in bags.columns.items() if abs(w[k]) > 1e-4}
 
 
 class Scorer(dict):
     """The summed weight of each word met so far; sentences and documents are scored with it."""
 
-    def __init__(self, model: dict[str, float], most: int = 400_000) -> None:
+    def __init__(self, model: dict[str, float], most: int = 100_000) -> None:
         super().__init__()
         self.model, self.most = model, most
 
@@ -109,10 +127,11 @@ class Scorer(dict):
                 yield s.start(), s.end(), bias + sum(map(get, words)), words
 
     def probability(self, text: str | None) -> float:
+        """The noisy-or of the distinct sentences that reach `FLOOR`."""
         if not text:
             return 0.0
         z = np.fromiter({x[3]: x[2] for x in self.sentences(text)}.values(), dtype=float)
-        return float(-np.expm1(-np.logaddexp(0, z).sum()))
+        return float(-np.expm1(-np.logaddexp(0, z[z >= _LEAST]).sum()))
 
     def spans(self, text: str, least: float = THRESHOLD) -> list[dict]:
         """Sentences whose own probability is at least `least`; if none is, the most suspicious one."""
@@ -154,12 +173,12 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> dict[str, f
 def _probability(spark, model: dict[str, float]) -> Column:
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def probability(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def probability(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(shared.value)
         for texts in parts:
-            yield pd.Series([scorer.probability(t) for t in texts], dtype=float)
+            yield pa.array([scorer.probability(t.as_py()) for t in texts], pa.float64())
 
+    probability = F.arrow_udf(probability, "double")
     return probability(F.col("text"))
 
 
@@ -179,10 +198,12 @@ def find_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     `SAMPLE` documents of either class); it then scores every sentence of every
     document. `sentences` has the offsets in characters of those that offend.
 
-    Defined results: null and empty texts are not toxic and have no row; a null
-    doc_id is kept; repeated rows give repeated rows; without labels of both
-    kinds nothing is toxic; an empty table gives an empty table. Other columns
-    are not read.
+    Defined results: null and empty texts are not toxic and have no row; very
+    long texts are read whole, and their length alone doesn't make them toxic
+    (`FLOOR`); a null doc_id is kept; repeated rows give repeated rows, and a
+    probability that is the threshold is toxic; without labels of both kinds
+    nothing is toxic; an empty table gives an empty table. Other columns are
+    not read, so their names can't clash.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(train(docs, labels))
@@ -193,7 +214,8 @@ def find_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
         scorer = Scorer(shared.value)
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                text = text.as_py()
                 p = scorer.probability(text)
                 if p >= threshold:
                     rows.append((doc_id, True, round(p, 6), scorer.spans(text)))

@@ -48,11 +48,11 @@ def test_toxicity(spark, none):
 
 
 def test_noisy_or():
-    model = {"": -2.0, "=bad": 3.0, "=poor": 1.0}
+    model = {"": -2.0, "=bad": 3.0, "=poor": 2.5}
     s = toxicity.Scorer(model)
     p = lambda z: 1 / (1 + math.exp(-z))
-    assert s.probability("Bad one. Good one. good ONE!") == pytest.approx(1 - (1 - p(1)) * (1 - p(-2)))
-    assert s.probability("Bad one. Poor one. bad ONE!") == pytest.approx(1 - (1 - p(1)) * (1 - p(-1)))
+    assert s.probability("Bad one. Good one. good ONE!") == pytest.approx(p(1))
+    assert s.probability("Bad one. Poor one. bad ONE!") == pytest.approx(1 - (1 - p(1)) * (1 - p(0.5)))
     assert s.probability(None) == s.probability("") == s.probability("1 2 ...") == 0
     text = "İyi. Bad one"
     spans = s.spans(text)
