@@ -44,7 +44,8 @@ _SPELLED = "zero|one|two|three|four|five|six|seven|eight|nine|oh"
 #: At least five spelled digits with only spaces, hyphens, dots or commas between them.
 _NUMBER = re.compile(rf"\b(?:{_SPELLED})(?:[ ,.\-]{{1,2}}(?:{_SPELLED})){{4,}}\b", re.I)
 _WORD_DIGIT = re.compile(_SPELLED, re.I)
-_UNIT = rf"(?:\b(?:{_SPELLED})\b|(?<!\w)\+?\d++(?!\w))"
+_TIMES = {"double": 2, "triple": 3}
+_UNIT = rf"(?:\b(?:(?:double|triple)[ \-]{{1,2}})?(?:{_SPELLED})\b|(?<!\w)\+?\d++(?!\w))"
 _BETWEEN = r"[\s,.\-()]++(?:(?:dot|point|dash|hyphen)\b[\s,.\-()]++)?"
 #: Spelled digits and numerals with white space, signs, "dot" or "dash" between them.
 _MIXED = re.compile(rf"{_UNIT}(?:{_BETWEEN}{_UNIT})+", re.I)
@@ -54,16 +55,20 @@ _SPELLED_WORD = re.compile(rf"\b(?:{_SPELLED})\b", re.I)
 _MOST_DIGITS = 19
 _MARK = r"[\[({<]"
 _END = r"[\])}>]"
-_AT = re.compile(rf"\s*{_MARK}\s*(?:at|@)\s*{_END}\s*", re.I)
-_DOT = re.compile(rf"\s*{_MARK}\s*(?:dot|\.)\s*{_END}\s*", re.I)
+# white space around them is added in code: a pattern that begins with it is searched anew from every blank
+_AT = re.compile(rf"{_MARK}\s*(?:at|@)\s*{_END}", re.I)
+_DOT = re.compile(rf"{_MARK}\s*(?:dot|\.)\s*{_END}", re.I)
+#: "name_at_host_dot_com", with underscores or hyphens throughout.
+_JOINED = re.compile(r"(?<![\w.+%\-])[a-z0-9]++(?:[._+\-](?!at[_\-])[a-z0-9]++){0,15}(?P<sep>[_\-])(?P<at>at)(?P=sep)(?P<host>[a-z0-9]++(?:(?P=sep)(?!dot(?P=sep))[a-z0-9]++){0,3}(?:(?P=sep)dot(?P=sep)[a-z0-9]++){0,7}(?P=sep)dot(?P=sep)[a-z]{2,24})(?![\w\-])", re.I)
+_JOINED_AT = re.compile(r"_at_|-at-", re.I)
 #: Last parts of host names that bare words may end in: generic ones, and two letters that are no common word.
 _TOP = "(?:com|org|net|edu|gov|mil|int|info|biz|name|pro|app|dev|xyz|online|site|shop|store|tech|cloud|blog|example|test|invalid|(?!(?:am|an|as|at|be|by|do|go|he|if|in|is|it|la|my|no|of|on|or|so|to|up|we)\\b)[a-z]{2})"
 _COUNTRY_WORD = "(?:am|an|as|at|be|by|do|go|he|if|in|is|it|la|my|no|of|on|or|so|to|up|we)"
 _SEP = r"(?:\s+dot\s+|\.)"
 #: "name at host dot com" with any parts of it disguised; what of it is taken is decided by `_address`. 64 characters hold at most 32 parts.
-_ADDRESS = re.compile(rf"(?<![\w.+\-%])[a-z0-9_+\-%]++(?:{_SEP}[a-z0-9_+\-%]++){{0,31}}(?P<at>\s+at\s+|\s*@\s*)(?P<host>[a-z0-9\-]+(?:{_SEP}[a-z0-9\-]+)*{_SEP}[a-z]{{2,24}})(?![\w\-])", re.I)
+_ADDRESS = re.compile(rf"(?<![\w.+\-%])[a-z0-9_+\-%]++(?:{_SEP}[a-z0-9_+\-%]++){{0,31}}(?P<at>\s+at\s+|\s*@\s*)(?P<host>[a-z0-9\-]{{1,63}}(?:{_SEP}[a-z0-9\-]{{1,63}}){{0,15}}{_SEP}[a-z]{{2,24}})(?![\w\-])", re.I)
 #: A host that stands without a mark: a bare dot before a last part that is no common word, or is the last word before a stop.
-_BARE_HOST = re.compile(rf"(?!(?:the|a|an|this|that|each|every|my|our|his|her|its|your|their|any|some|one)\b)[a-z0-9\-]+(?:{_SEP}[a-z0-9\-]+)*\s+dot\s+(?:{_TOP}|{_COUNTRY_WORD}(?=\s*(?:$|[.,;:!?)\]}}>\"'])))(?:{_SEP}[a-z]{{2,24}})*(?![\w\-])", re.I)
+_BARE_HOST = re.compile(rf"(?!(?:the|a|an|this|that|each|every|my|our|his|her|its|your|their|any|some|one)\b)[a-z0-9\-]{{1,63}}(?:{_SEP}[a-z0-9\-]{{1,63}}){{0,15}}\s+dot\s+(?:{_TOP}|{_COUNTRY_WORD}(?=\s*(?:$|[.,;:!?)\]}}>\"'])))(?:{_SEP}[a-z]{{2,24}}){{0,3}}(?![\w\-])", re.I)
 _BARE_DOT = re.compile(r"\s+dot\s+", re.I)
 _DISGUISED = re.compile(r"[\[({<]\s*(?:at|@|dot|\.)\s*[\])}>]|\sdot\s|\s@|@\s", re.I)
 
@@ -133,10 +138,12 @@ def normalised(source: str) -> Text:
         if any(c in source for c in _UNSEEN):
             text.replace([(m.start(), m.end(), "") for m in re.finditer(f"[{_UNSEEN}]+", text.plain) if m.end() > m.start()])
     if _DISGUISED.search(text.plain):
-        marks = [(m.start(), m.end(), "@") for m in _AT.finditer(text.plain)] + [(m.start(), m.end(), ".") for m in _DOT.finditer(text.plain)]
+        marks = [(*_with_blanks(text.plain, *m.span()), c) for p, c in ((_AT, "@"), (_DOT, ".")) for m in p.finditer(text.plain)]
         text.replace(_apart(marks))
         bare = [r for m in _ADDRESS.finditer(text.plain) for r in _address(text, m)]
         text.replace(_apart(bare))
+    if _JOINED_AT.search(text.plain):
+        text.replace([r for m in _JOINED.finditer(text.plain) for r in _joined(m)])
     if _SPELLED_WORD.search(text.plain):
         text.replace([r for m in _MIXED.finditer(text.plain) if _SPELLED_WORD.search(m.group()) for r in _read_out(m.group(), m.start())])
     spelled = []
@@ -149,6 +156,30 @@ def normalised(source: str) -> Text:
     return text
 
 
+def _with_blanks(plain: str, a: int, b: int) -> tuple[int, int]:
+    while a and plain[a - 1].isspace():
+        a -= 1
+    while b < len(plain) and plain[b].isspace():
+        b += 1
+    return a, b
+
+
+def _joined(m: re.Match) -> list[tuple[int, int, str]]:
+    sep, (a, b) = m["sep"], m.span("at")
+    word, base = f"{sep}dot{sep}", m.start("host")
+    host, at, out = m["host"].lower(), 0, [(a - 1, b + 1, "@")]
+    while (at := host.find(word, at)) >= 0:
+        out.append((base + at, base + at + len(word), "."))
+        at += len(word)
+    return out
+
+
+def _said(word: str) -> str:
+    """The digits of a unit, in lower case: "five", "double five", or a numeral as it is."""
+    *times, last = re.split(r"[ \-]+", word) if word[0].isalpha() else [word]
+    return _DIGITS.get(last, last) * (_TIMES[times[0]] if times else 1)
+
+
 def _address(text: Text, m: re.Match) -> list[tuple[int, int, str]]:
     """What to write for the disguises of an address; none if it may be prose.
 
@@ -193,10 +224,10 @@ def _read_out(run: str, base: int) -> list[tuple[int, int, str]]:
     with a spelled digit in it, the longest from the left are taken.
     """
     units = [(u.start(), u.end(), u.group().lower()) for u in _UNITS.finditer(run)]
-    digits = [_DIGITS.get(w, w) for _, _, w in units]
-    said = [w in _DIGITS for _, _, w in units]
+    digits = [_said(w) for _, _, w in units]
+    said = [w[0].isalpha() for _, _, w in units]
     between = [run[x[1] : y[0]].lower() for x, y in zip(units, units[1:])]
-    single = [len(d) == 1 for d in digits]
+    single = [len(d) == 1 or w for d, w in zip(digits, said)]
     kept = ["." if "dot" in t or "point" in t or t == "." else "-" if "-" in t or "dash" in t or "hyphen" in t else " " for t in between]
     counts = Counter(t for k, t in enumerate(between) if single[k] and single[k + 1] and kept[k] != ".")
     weak = max(counts, key=lambda t: (counts[t], t == " "), default=None)
@@ -262,8 +293,9 @@ def detect(source: str | None) -> list[tuple[str, int, int, str]]:
     plain, found, taken = text.plain, [], []
 
     def take(kind: str, a: int, b: int, value: str) -> None:
-        if all(b <= x or a >= y for x, y in taken):
-            taken.append((a, b))
+        k = bisect_right(taken, (a, b))
+        if (k == 0 or taken[k - 1][1] <= a) and (k == len(taken) or taken[k][0] >= b):
+            taken.insert(k, (a, b))
             found.append((kind, *text.source(a, b), value))
 
     if "@" in plain:
@@ -297,17 +329,18 @@ def find_private(docs: DataFrame) -> DataFrame:
     telephone numbers, payment cards (with a valid check digit), IPv4
     addresses, US social security numbers and IBANs (with valid check digits)
     are found, plain or behind homoglyphs, characters without width, spelled
-    digits and at/dot disguises. Spelled digits, also beside numerals, are read
+    digits ("double five" too) and at/dot disguises. Spelled digits, also beside numerals, are read
     as telephone numbers, cards, IPv4 addresses (with "dot") and social security
     numbers (with hyphens or "dash"); not as IBANs, unless five or more of them
     follow each other.
 
     "name at host.com" without a mark is taken for prose.
 
-    Defined results: null and empty texts have no rows; a null doc_id is kept;
+    Defined results: null and empty texts have no rows; very long texts are
+    read whole, in time that grows with their length; a null doc_id is kept;
     repeated rows give repeated rows; of identifiers that overlap the first in
     the order email, iban, card, ssn, ip, phone stays; an empty table gives an
-    empty table. Other columns are not read.
+    empty table. Other columns are not read, so their names can't clash.
     """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
