@@ -417,6 +417,48 @@ def test_nearest(spark, block):
     assert all(v[1] == pytest.approx(want[k][1], rel=1e-9) for k, v in got.items())
 
 
+def test_nearest_of_some(spark, monkeypatch):
+    monkeypatch.setattr(topk, "PACK", 5)
+    monkeypatch.setattr(topk, "PIVOTS", 7)
+    rng = np.random.default_rng(8)
+    x = np.round(rng.normal(size=(10, 32))[rng.integers(0, 10, 400)] * 3 + rng.normal(size=(400, 32)), 2).astype(np.float32)
+    df = spark.createDataFrame([(k, [float(v) for v in r], "q" if k % 9 == 0 else None) for k, r in enumerate(x)], "vec_id bigint, embedding array<float>, cell string")
+    got = sorted((r.vec_id, r["rank"], r.neighbor_id) for r in topk.nearest(df, 4, 40, F.col("cell") == "q").collect())
+    want = []
+    for k in range(0, 400, 9):
+        d = np.sqrt(((x.astype(float) - x[k].astype(float)) ** 2).sum(1))
+        want += [(k, n + 1, int(j)) for n, j in enumerate([j for j in np.lexsort((np.arange(400), d)) if j != k][:4])]
+    assert got == want
+
+
+def test_coarse_levels_discard_most_pairs_of_clusters():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(40, 64))[rng.integers(0, 40, 6000)] + rng.normal(scale=0.1, size=(6000, 64))
+    ids, at = np.arange(len(x)), np.arange(0, len(x), 30)
+    left: list[int] = []
+    bounds = topk.own_bounds(ids, x, at, 10)
+    i, n, d = topk.search(ids[at], x[at], bounds, ids, x, 10, left)
+    pairs = len(at) * len(x)
+    assert len(left) == 4 and left == sorted(left, reverse=True)
+    assert left[0] < 0.3 * pairs and left[2] < 0.06 * pairs and left[3] < 0.01 * pairs
+    assert len(i) == 10 * len(at)
+    # and whole blocks are never seen
+    by_cluster = np.argsort(((x[:, None] - x[None, at[:40]]) ** 2).sum(2).argmin(1), kind="stable")
+    y = x[by_cluster]
+    low, high = (np.array([f(topk.statistics(y[a : a + 150], 16), axis=0) for a in range(0, 6000, 150)]) for f in (np.min, np.max))
+    seen = topk.box_bounds(topk.statistics(x[at], 16), low, high) <= bounds[:, None]
+    assert seen.mean() < 0.5
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10**6))
+def test_boxes_bound_the_distance(seed):
+    x = np.random.default_rng(seed).normal(size=(30, 40))
+    s = topk.statistics(x, 8)
+    bound = topk.box_bounds(s, s[10:].min(0)[None], s[10:].max(0)[None])[:, 0]
+    assert (bound <= np.sqrt(((x[:, None] - x[None, 10:]) ** 2).sum(2)).min(1) + 1e-9).all()
+
+
 def test_nearest_of_few(spark):
     schema = "vec_id bigint, embedding array<float>"
     assert topk.nearest(spark.createDataFrame([], schema)).count() == 0
