@@ -14,4 +14,4 @@ QUERIES = {
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_mixing": mixing.op10_mixing,
 }
-ORACLES = {"op2_exact_top_k": topk.SQL, "op6_warc_archive": warc.SQL, "op9_line_dedup": line_dedup.SQL, "op10_mixing": mixing.SQL}
+ORACLES = {"op2_exact_top_k": topk.SQL, "op6_warc_archive": warc.SQL, "op7_substring_dedup": substring_dedup.SQL, "op9_line_dedup": line_dedup.SQL, "op10_mixing": mixing.SQL}

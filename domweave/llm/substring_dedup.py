@@ -1,8 +1,17 @@
-"""Substring deduplication by relative Lempel-Ziv factors over distributed reference blocks."""
+"""Substring deduplication by relative Lempel-Ziv factors over distributed reference blocks.
+
+A block is the part of the corpus whose windows of 50 words have their anchors
+in it. It is indexed by window: the index has each window's first place. A
+document is factored against the places that its windows have there: the match
+at each is extended word by word to both sides as far as the texts agree, and
+of the matches the parse takes, from left to right, the one that reaches
+farthest, also if it began before the boundary of the factor before it.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -10,12 +19,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from domweave.llm.common import shuffle_partitions, spread
+from domweave.llm.common import shuffle_partitions, spread, written
 
 #: Words of the shortest factor that becomes a duplicate span.
 LEAST_WORDS = 50
 #: Words of the grams of which the smallest hash in a window routes it to its block.
 GRAM = 16
+#: Bytes of the input that a block has on the whole.
+BLOCK_BYTES = 8_000_000
 #: Words that are hashed at once; a longer document is cut into overlapping parts.
 CHUNK = 400_000
 
@@ -68,16 +79,15 @@ def windows(words: np.ndarray, part: np.ndarray, least: int) -> tuple[np.ndarray
     return start, whole[start], low[start]
 
 
-def factors(anchor: np.ndarray, doc: np.ndarray, start: np.ndarray, length: np.ndarray, hashes: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
-    """Factors (doc, start, words, reference doc, reference start) of all documents' windows in a block.
+def first_places(anchor: np.ndarray, doc: np.ndarray, start: np.ndarray, length: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs (doc, first window, windows, document of the first place, its first window) of a block's windows that a smaller doc_id has.
 
     The index of the block has, for each window, its first place by (doc,
-    start): the reference. A document's windows are taken from left to right
-    and a factor grows while its reference does, word by word.
+    start). A run grows while neighbouring windows have neighbouring places.
     """
     run = np.repeat(np.arange(len(length)), length)
     inside = np.arange(len(run)) - np.repeat(np.cumsum(length) - length, length)
-    key = _mix(anchor[run] + hashes.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    key = _mix(anchor[run] + hashes * np.uint64(0xC2B2AE3D27D4EB4F))
     order = np.argsort(key)
     ranked = key[order]
     same = ranked[1:] == ranked[:-1]
@@ -97,7 +107,7 @@ def factors(anchor: np.ndarray, doc: np.ndarray, start: np.ndarray, length: np.n
     begins[1:] = (of[1:] != of[:-1]) | (at[1:] != at[:-1] + 1) | (ref_of[1:] != ref_of[:-1]) | (ref_at[1:] != ref_at[:-1] + 1)
     at_first = np.flatnonzero(begins)
     count = np.diff(np.append(at_first, len(of)))
-    return of[at_first], at[at_first], count + least - 1, ref_of[at_first], ref_at[at_first]
+    return of[at_first], at[at_first], count, ref_of[at_first], ref_at[at_first]
 
 
 def _blocks_of(docs: DataFrame, blocks: int, least: int) -> DataFrame:
@@ -119,13 +129,15 @@ def _blocks_of(docs: DataFrame, blocks: int, least: int) -> DataFrame:
         run_start = (start[first] - at[run_of] + np.array(bases, dtype=np.int64)[run_of]).astype(np.int64)
         block = (_mix(run_anchor) % np.uint64(blocks)).astype(np.int64)
         order = np.argsort(block, kind="stable")
-        hashes = whole.astype(np.uint32)[np.repeat(first[order], length[order]) + np.arange(len(start)) - np.repeat(np.cumsum(length[order]) - length[order], length[order])]
+        hashes = whole[np.repeat(first[order], length[order]) + np.arange(len(start)) - np.repeat(np.cumsum(length[order]) - length[order], length[order])]
         edges = np.flatnonzero(np.diff(block[order], prepend=-1))
         ends = np.append(edges[1:], len(order))
         window_end = np.cumsum(length[order])
         columns = [run_anchor[order], run_doc[order], run_start[order].astype(np.uint32), length[order].astype(np.uint32)]
         packed = [[c[a:b].tobytes() for a, b in zip(edges, ends)] for c in columns]
-        packed.append([hashes[window_end[a] - length[order][a] : window_end[b - 1]].tobytes() for a, b in zip(edges, ends)])
+        # 48 bits of a window's hash, beside the 64 of its anchor
+        for part_of in (hashes.astype(np.uint32), (hashes >> np.uint64(32)).astype(np.uint16)):
+            packed.append([part_of[window_end[a] - length[order][a] : window_end[b - 1]].tobytes() for a, b in zip(edges, ends)])
         yield pa.RecordBatch.from_arrays([pa.array(block[order][edges].astype(np.int32)), *[pa.array(c, pa.binary()) for c in packed]], names=["block", *_PACKED])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,53 +163,177 @@ def _blocks_of(docs: DataFrame, blocks: int, least: int) -> DataFrame:
     return chosen.mapInArrow(emit, "block int, " + ", ".join(f"{c} binary" for c in _PACKED))
 
 
-_PACKED = ["anchors", "docs", "starts", "lengths", "hashes"]
-_TYPES = [np.uint64, np.int64, np.uint32, np.uint32, np.uint32]
+_PACKED = ["anchors", "docs", "starts", "lengths", "hashes", "more"]
+_TYPES = [np.uint64, np.int64, np.uint32, np.uint32, np.uint32, np.uint16]
+_RUN = "start long, end long, ref_doc long, ref_start long"
+_ARROW_RUN = pa.list_(pa.struct([(c.split()[0], pa.int64()) for c in _RUN.split(", ")]))
+
+
+def joined_runs(runs: list[tuple[int, int, int, int]], least: int) -> tuple[list[tuple[int, int, int, int]], bool]:
+    """A document's runs of windows as stretches (start, end, ref_doc, ref_start) of words, those that go on in another block made one; and whether any two touch."""
+    out: list[tuple[int, int, int, int]] = []
+    for at, count, ref, place in sorted(runs, key=lambda r: (r[2], r[3] - r[0], r[0])):
+        if out and out[-1][2] == ref and out[-1][3] - out[-1][0] == place - at and out[-1][1] - least + 1 == at:
+            out[-1] = (out[-1][0], at + count + least - 1, *out[-1][2:])
+        else:
+            out.append((at, at + count + least - 1, ref, place))
+    out.sort()
+    return out, any(b[0] <= a[1] for a, b in zip(out, out[1:]))
+
+
+def extended(words: list[str], others: list[str], shift: int, least: int) -> list[tuple[int, int]]:
+    """The stretches of at least `least` words that agree with the other text, `shift` words on."""
+    a, b = max(0, -shift), min(len(words), len(others) - shift)
+    if b - a < least:
+        return []
+    same = np.fromiter(map(eq, words[a:b], others[a + shift : b + shift]), dtype=bool, count=b - a)
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], same, [False]])))
+    return [(a + int(x), a + int(y)) for x, y in zip(edges[::2], edges[1::2]) if y - x >= least]
+
+
+def parse(matches: list[tuple[int, int, int, int]]) -> list[list[tuple[int, int, int, int]]]:
+    """The greedy parse of the matches (start, end, ref_doc, ref_start), as spans of factors next to each other.
+
+    From a boundary on, the match that covers it and reaches farthest is the
+    next factor; of several the one with the smallest reference. A factor is
+    cut where the one before it ended, though the match began earlier.
+    """
+    spans: list[list[tuple[int, int, int, int]]] = []
+    at, k, best = -1, 0, None
+    order = sorted(matches)
+    while True:
+        while k < len(order) and order[k][0] <= at:
+            if best is None or (-order[k][1], order[k][2:]) < (-best[1], best[2:]):
+                best = order[k]
+            k += 1
+        if best is not None and best[1] > at:
+            cut = max(0, at - best[0])
+            factor = (best[0] + cut, best[1], best[2], best[3] + cut)
+            if spans and spans[-1][-1][1] == factor[0]:
+                spans[-1].append(factor)
+            else:
+                spans.append([factor])
+            at = best[1]
+        elif k < len(order):
+            at = order[k][0]
+        else:
+            return spans
+
+
+def factors(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
+    """(doc_id, first_ref, span): the duplicate passages of each document as arrays of factors (start, end, ref_doc, ref_start), in words.
+
+    `first_ref` is the smallest doc_id that has the passage's first window.
+    """
+    spark = docs.sparkSession
+    # so many that one is held by a task at a time, whatever the number of tasks
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    blocks = max(shuffle_partitions(spark), min(-(-size // BLOCK_BYTES), 2**20))
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def places(held: list[list[bytes]]) -> pa.RecordBatch:
+            arrays = [np.frombuffer(b"".join(x), dtype=t) for x, t in zip(zip(*held), _TYPES)]
+            hashes = arrays[4] | arrays[5].astype(np.uint64) << np.uint64(32)
+            found = first_places(*arrays[:3], arrays[3].astype(np.int64), hashes)
+            return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in found], names=["doc_id", "start", "count", "ref_doc", "ref_start"])
+
+        block, held = None, []
+        for batch in batches:
+            for k, of in enumerate(batch.column(0).to_pylist()):
+                if of != block and held:
+                    yield places(held)
+                    held = []
+                block = of
+                held.append([batch.column(c)[k].as_py() for c in _PACKED])
+        if held:
+            yield places(held)
+
+    packed = _blocks_of(docs, blocks, least).repartition(shuffle_partitions(spark), "block").sortWithinPartitions("block")
+    found = packed.mapInArrow(index, "doc_id long, start long, count long, ref_doc long, ref_start long")
+    by_doc = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "count", "ref_doc", "ref_start")).alias("runs"))
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [joined_runs([tuple(r.values()) for r in runs.as_py()], least) for runs in batch.column(1)]
+            columns = [batch.column(0), pa.array([[dict(zip(("start", "end", "ref_doc", "ref_start"), r)) for r in m[0]] for m in made], _ARROW_RUN), pa.array([m[1] for m in made], pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "runs", "touching"])
+
+    runs = written(by_doc.mapInArrow(join, f"doc_id long, runs array<struct<{_RUN.replace(' ', ':').replace(',:', ',')}>>, touching boolean"), "runs")
+    # a stretch that touches no other ends where its texts part; where some touch, the texts are compared
+    alone = runs.where("NOT touching").select("doc_id", F.explode("runs").alias("r")).select("doc_id", F.col("r.ref_doc").alias("first_ref"), F.array("r").alias("span"))
+    others = runs.where("touching")
+    each = others.select("doc_id", F.explode("runs").alias("r"))
+    pairs = each.groupBy("doc_id", F.col("r.ref_doc").alias("ref_doc")).agg(F.collect_set(F.col("r.ref_start") - F.col("r.start")).alias("shifts"))
+    needed = pairs.select("doc_id").unionByName(pairs.select(F.col("ref_doc").alias("doc_id"))).distinct()
+    texts = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL").join(needed, "doc_id", "left_semi"), "texts")
+    compared = pairs.join(texts, "doc_id").join(texts.select(F.col("doc_id").alias("ref_doc"), F.col("text").alias("ref_text")), "ref_doc")
+
+    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: tuple[int | None, str, list[str]] = (None, "", [])
+        for batch in batches:
+            rows = []
+            for k in range(batch.num_rows):
+                doc_id, ref, shifts, text, ref_text = (batch.column(c)[k].as_py() for c in range(5))
+                if (ref, ref_text) != known[:2]:
+                    known = (ref, ref_text, ref_text.split())
+                words = text.split()
+                rows += [(doc_id, a, b, ref, a + s) for s in shifts for a, b in extended(words, known[2], s, least)]
+            columns = list(zip(*rows)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "end", "ref_doc", "ref_start"])
+
+    matches = compared.select("doc_id", "ref_doc", "shifts", "text", "ref_text").mapInArrow(extend, f"doc_id long, {_RUN}")
+    matches = matches.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "ref_doc", "ref_start")).alias("matches"))
+
+    def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc_id, runs, found in zip(*(c.to_pylist() for c in batch.columns)):
+                first = {r["start"]: r["ref_doc"] for r in runs}
+                rows += [(doc_id, first.get(span[0][0]), [dict(zip(("start", "end", "ref_doc", "ref_start"), f)) for f in span]) for span in parse([tuple(m.values()) for m in found])]
+            columns = list(zip(*rows)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], _ARROW_RUN)], names=["doc_id", "first_ref", "span"])
+
+    parsed = others.join(matches, "doc_id").select("doc_id", "runs", "matches").mapInArrow(cover, alone.schema)
+    return alone.unionByName(parsed)
 
 
 def duplicate_spans(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, start_word, end_word, n_words, ref_doc_id, n_factors): passages that an earlier document holds.
 
-    Every document is factored against every reference block, greedily. A block
-    is the part of the corpus whose windows of `least` words have their anchors
-    in it, indexed by window; each window is sent to the one block that can
-    hold its equals, so nothing is compared that can't match and no block is
-    sent to all documents. A factor has `least` words or more. Where a factor
-    ends at the boundary of a block or of its reference, those that touch or
-    overlap in a document become one span. The spans are exactly the words in
-    windows of `least` words that also occur in a document with a smaller
-    doc_id. Words are what white space separates; ref_doc_id is the document of
-    the first factor's reference.
+    The spans are the words in windows of `least` words that also occur in a
+    document with a smaller doc_id; ref_doc_id is the smallest that has the
+    first of them. They are covered by `n_factors` factors of the greedy parse
+    (`factors`): a copy of a document is one, in any number of blocks and
+    tasks. Windows are equal by their anchor's 64 and their own 48 bits. Each
+    is sent to the one block that can hold its equals, so nothing is compared
+    that can't match and no block is sent to all documents. Words are what
+    white space separates.
 
     Defined results: null and empty texts, those of fewer than `least` words and
-    rows with a null doc_id have no spans; rows that share a doc_id are one
-    document, whose repeats don't count; of copies the one with the smallest
-    doc_id is the reference; an empty table gives an empty table. Other columns
-    are not read.
+    rows with a null doc_id have no spans; very long texts are hashed in parts
+    that overlap; rows that share a doc_id are one document, whose repeats
+    don't count; of copies the one with the smallest doc_id is the reference;
+    an empty table gives an empty table. Other columns are not read, so their
+    names can't clash.
     """
-    blocks = shuffle_partitions(docs.sparkSession)
-
-    def factor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [[b"".join(x) for x in zip(*[[b.column(c)[i].as_py() for c in _PACKED] for i in range(b.num_rows)])] for b in batches if b.num_rows]
-        if held:
-            arrays = [np.frombuffer(b"".join(h[k] for h in held), dtype=t) for k, t in enumerate(_TYPES)]
-            del held
-            found = factors(arrays[0], arrays[1], arrays[2], arrays[3].astype(np.int64), arrays[4], least)
-            names = ["doc_id", "start_word", "n_words", "ref_doc_id", "ref_start"]
-            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in found], names=names)
-
-    packed = _blocks_of(docs, blocks, least).repartitionById(blocks, F.col("block"))
-    found = packed.mapInArrow(factor, "doc_id long, start_word long, n_words long, ref_doc_id long, ref_start long")
-    found = found.withColumn("end_word", F.col("start_word") + F.col("n_words"))
-    in_doc = Window.partitionBy("doc_id").orderBy("start_word", "end_word", "ref_doc_id", "ref_start")
-    before = F.max("end_word").over(in_doc.rowsBetween(Window.unboundedPreceding, -1))
-    span = F.sum(F.when(F.col("start_word") <= F.col("before"), 0).otherwise(1)).over(in_doc)
-    spans = found.withColumn("before", before).withColumn("span", span).groupBy("doc_id", "span")
-    place = F.struct("start_word", "end_word", "ref_doc_id")
-    spans = spans.agg(F.min("start_word").alias("start_word"), F.max("end_word").alias("end_word"), F.min(place).alias("first"), F.count("*").alias("n_factors"))
-    return spans.select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "first.ref_doc_id", "n_factors")
+    span = factors(docs, least)
+    start, end = F.col("span")[0]["start"], F.element_at("span", -1)["end"]
+    return span.select("doc_id", start.alias("start_word"), end.alias("end_word"), (end - start).alias("n_words"), F.col("first_ref").alias("ref_doc_id"), F.size("span").cast("long").alias("n_factors"))
 
 
 def op7_substring_dedup(spark, sf_dir: str) -> DataFrame:
-    """All passages of at least `LEAST_WORDS` words that an earlier document holds."""
-    return duplicate_spans(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
+    """All passages of at least `LEAST_WORDS` words that an earlier document holds; their factors are tested by brute force."""
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return duplicate_spans(docs).drop("n_factors")
+
+
+SQL = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(text, '[^ \\t\\n\\r]+') AS w FROM documents WHERE text IS NOT NULL),
+win AS (SELECT doc_id, i, md5(array_to_string(w[i + 1 : i + {LEAST_WORDS}], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(0, greatest(len(w) - {LEAST_WORDS - 1}, 0))) AS i FROM d)),
+f AS (SELECT h, min(doc_id) AS ref FROM win GROUP BY h HAVING count(DISTINCT doc_id) > 1),
+dup AS (SELECT win.doc_id, i, ref FROM win JOIN f USING (h) WHERE ref < win.doc_id),
+b AS (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {LEAST_WORDS} THEN 0 ELSE 1 END AS new FROM dup),
+s AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM b)
+SELECT doc_id, min(i)::BIGINT AS start_word, (max(i) + {LEAST_WORDS})::BIGINT AS end_word, (max(i) - min(i) + {LEAST_WORDS})::BIGINT AS n_words, arg_min(ref, i) AS ref_doc_id
+FROM s GROUP BY doc_id, span
+"""

@@ -91,6 +91,32 @@ def spans(docs, least):
     return out
 
 
+def parse(docs, least):
+    """{doc_id: [[(start, end)]]}: the greedy parse of each document by the longest match in any smaller doc_id, word by word; ids are unique."""
+    texts = {d: t.split() for d, t in docs if d is not None and t is not None}
+    out = {}
+    for d, words in texts.items():
+        reach = {}  # of each start the farthest end of a match of `least` words or more
+        for e, other in texts.items():
+            if e < d:
+                ahead = [0] * (len(other) + 1)
+                for i in range(len(words) - 1, -1, -1):
+                    ahead = [ahead[j + 1] + 1 if words[i] == other[j] else 0 for j in range(len(other))] + [0]
+                    if (n := max(ahead)) >= least:
+                        reach[i] = max(reach.get(i, 0), i + n)
+        spans, at = [], 0
+        for i in range(len(words)):
+            if i >= at and i in reach and (not spans or i > at or spans[-1][-1][1] != at):
+                spans.append([(i, reach[i])])
+                at = reach[i]
+            while spans and spans[-1][-1][1] == at and (more := max((e for s, e in reach.items() if s <= at < e), default=0)):
+                spans[-1].append((at, more))
+                at = more
+        if spans:
+            out[d] = spans
+    return out
+
+
 def count(text):
     return len(re.findall(r"[^ \t\n\r]+", text or ""))
 

@@ -147,6 +147,52 @@ def test_spans(docs, rows, none, least):
         assert substring_dedup.duplicate_spans(none).count() == 0
 
 
+def _factors(df, least):
+    out = {}
+    for r in substring_dedup.factors(df, least).collect():
+        out.setdefault(r.doc_id, []).append([(f.start, f.end) for f in r.span])
+    return {d: sorted(x) for d, x in out.items()}
+
+
+@pytest.mark.parametrize("tasks", [4, 13])
+def test_a_copy_is_one_factor(spark, tasks):
+    rng = random.Random(7)
+    shared, text = [str(rng.random()) for _ in range(60)], [str(rng.random()) for _ in range(2000)]
+    text[500:500] = shared
+    rows = [(1, " ".join(["a"] * 5 + shared + ["b"] * 9)), (2, " ".join(text)), (3, " ".join(text)), (4, " ".join(text[:900] + ["cut"] + text[900:]))]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", str(tasks))
+        assert _factors(spark.createDataFrame(rows, "doc_id bigint, text string"), 50) == {2: [[(500, 560)]], 3: [[(0, 2060)]], 4: [[(0, 900)], [(901, 2061)]]}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_factors_of_a_plain_parser(spark):
+    rng = random.Random(5)
+    passages = [[f"p{k}w{j}" for j in range(rng.randint(3, 25))] for k in range(12)]
+    rows = []
+    for d in range(60):
+        words = []
+        for _ in range(rng.randint(0, 6)):
+            words += rng.choice(passages) if rng.random() < 0.7 else [str(rng.random()) for _ in range(rng.randint(1, 9))]
+        rows.append((d, " ".join(words if d % 4 or d == 0 else rows[rng.randrange(d)][1].split() + words)))
+    got = _factors(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), 6)
+    want = brute.parse(rows, 6)
+    assert got == want and sum(len(s) > 1 for x in want.values() for s in x) > 10
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 40), st.integers(1, 20), st.integers(0, 3)), max_size=12))
+def test_parse(matches):
+    spans = substring_dedup.parse([(a, a + n, r, a + 100) for a, n, r in matches])
+    covered = {k for a, n, _ in matches for k in range(a, a + n)}
+    assert {k for s in spans for a, b, *_ in s for k in range(a, b)} == covered
+    flat = [f for s in spans for f in s]
+    assert all(a[1] <= b[0] for a, b in zip(flat, flat[1:])) and all(x[1] == y[0] for s in spans for x, y in zip(s, s[1:]))
+    assert all(any(a <= f[0] and f[1] == a + n and r == f[2] and f[3] - f[0] == 100 for a, n, r in matches) for f in flat)
+
+
 def test_spans_across_chunks(spark, monkeypatch):
     rng = random.Random(3)
     shared = [str(rng.random()) for _ in range(500)]
