@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +16,7 @@ from domweave.errors import ConfigError, SchemaError
 from domweave.operators import change, crawl, derive, heal, records
 from domweave.operators.records import Field
 from domweave.operators.select import select
+from domweave.plans.shared import written
 from domweave.sources import pages as P
 from domweave.sources import sinks
 from domweave.streaming.watch import start, watch_stream
@@ -68,6 +68,18 @@ class Session:
     def with_(self, **changes) -> Session:
         return replace(self, **changes)
 
+    def prepared(self, pages: DataFrame) -> DataFrame:
+        """The pages after the hooks before parsing."""
+        for hook in self.before_parse:
+            pages = pages.withColumn("html", hook(F.col("html")))
+        return pages
+
+    def hooked(self, value: Column) -> Column:
+        """A value after the hooks that follow extraction."""
+        for hook in self.after_extract:
+            value = _hooked(hook)(value)
+        return value
+
     def page(self, *urls: str) -> Pages:
         return Pages(self, self.pages.where(F.col("url").isin(*urls)) if urls else self.pages)
 
@@ -89,18 +101,20 @@ class Pages:
 
     def __init__(self, session: Session, pages: DataFrame) -> None:
         self.session = session
-        for hook in session.before_parse:
-            pages = pages.withColumn("html", hook(F.col("html")))
-        self.frame = P.with_dom(pages)
+        self.source = session.prepared(pages)
+        self.frame = P.with_dom(self.source)
 
     def _view(self, name: str, value: Column) -> DataFrame:
         return self.frame.select("url", value.alias(name))
 
     def _texts(self, selector: str, kind: str) -> DataFrame:
-        found = derive.texts(F.col("dom"), select("dom", selector, kind))
-        for hook in self.session.after_extract:
-            found = F.transform(found, _hooked(hook))
-        return self._view("texts", found)
+        return self._view("texts", F.transform(derive.texts(F.col("dom"), select("dom", selector, kind)), self.session.hooked))
+
+    def collection(self, selector: str, kind: str = "css", where: Hook | None = None, value: Hook | None = None) -> DataFrame:
+        """(url, items): of the selected elements those for which `where` holds, each as `value` makes it; both are functions of the element's column."""
+        found = select("dom", selector, kind)
+        found = F.filter(found, where) if where else found
+        return self._view("items", F.transform(found, value) if value else found)
 
     def css(self, selector: str) -> DataFrame:
         return self._texts(selector, "css")
@@ -182,25 +196,35 @@ class Dataset(_Fields):
         return self.session.page(*self.urls).frame.select("url", "dom")
 
     def build(self) -> DataFrame:
-        """(url, fields). With auto_match, a CSS field that selects nothing takes the element most like its fingerprint, and what was found is stored."""
+        """(url, fields). With auto_match and a store, a CSS field that selects nothing takes the element most like its fingerprint, and what was found, either way, is stored.
+
+        All fields are read in one pass over the pages, each parsed once. With
+        auto_match the pass is made at once and the records are kept in the
+        shared folder, as the fingerprints are stored from the same rows.
+        """
         if not self.fields:
             raise SchemaError("a dataset needs fields")
-        pages = self._pages()
-        out = records.extract(pages, self.fields)
-        store = self.session.fingerprints
-        if not (self.session.auto_match and store):
-            return out
-        css = [f for f in self.fields if f.kind == "css"]
-        try:
-            known = store.scan()
-        except AnalysisException:  # nothing is stored yet
-            known = heal.capture(pages.limit(0), [f.selector for f in css])
-        for k, f in enumerate(css):
-            found = heal.auto_match(pages, known, f.selector, self.session.weights, self.session.threshold)
-            value = F.col("text") if f.transform is None else f.transform(F.col("text"))
-            healed = found.where("healed").select(F.col("url").alias(f"__u{k}"), value.alias(f"__v{k}"))
-            out = out.join(healed, F.col("url").eqNullSafe(F.col(f"__u{k}")), "left").withColumn(f.name, F.coalesce(F.nullif(F.col(f"__v{k}"), F.lit("")), F.col(f"`{f.name}`"))).drop(f"__u{k}", f"__v{k}")
-        return out
+        session, store = self.session, self.session.fingerprints
+        css = list(dict.fromkeys(f.selector for f in self.fields if f.kind == "css"))
+        if not (session.auto_match and store and css):
+            out = records.extract(self._pages(), self.fields)
+            return out.select("url", *[session.hooked(F.col(f"`{f.name}`")).alias(f.name) for f in self.fields])
+        source = session.page(*self.urls).source.select("url", "html")
+        rows = P.with_dom(heal.attach(source, store.known(), css)).drop("html")
+        found = {s: f"__m{k}" for k, s in enumerate(css)}
+        rows = rows.select("url", "dom", *[heal.match(F.col("dom"), s, F.col("__stored")[s], session.weights, session.threshold).alias(c) for s, c in found.items()])
+        values = []
+        for f in self.fields:
+            value = records.field_value(F.col("dom"), f)
+            if f.kind == "css":
+                m = F.col(found[f.selector])
+                text = m["text"] if f.transform is None else f.transform(m["text"])
+                value = F.when(m["healed"] & (m["text"] != ""), text).otherwise(value)
+            values.append(session.hooked(value).alias(f.name))
+        made = written(rows.select("url", F.struct(*values).alias("record"), heal.found_fingerprints(rows, found).alias("found")), "records")
+        seen = made.select("url", F.explode("found").alias("s")).where("s.f IS NOT NULL")
+        store.put(seen.select("url", "s.selector_used", "s.f.*", F.current_timestamp().alias("captured_at"), "s.similarity_score"))
+        return made.select("url", "record.*")
 
     def capture(self) -> Dataset:
         """Stores the fingerprints of what the CSS fields select now."""
@@ -236,7 +260,8 @@ class Crawl(_Fields):
         return self
 
     def build(self) -> DataFrame:
-        return crawl.crawl(self.session.pages, self.seeds, self.fields, self.selector, self.kind, self.steps, self.most)
+        out = crawl.crawl(self.session.prepared(self.session.pages.select("url", "html")), self.seeds, self.fields, self.selector, self.kind, self.steps, self.most)
+        return out.withColumns({f.name: self.session.hooked(F.col(f"`{f.name}`")) for f in self.fields}) if self.session.after_extract and self.fields else out
 
 
 class Watch:

@@ -7,8 +7,11 @@ import json
 from collections.abc import Sequence
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from domweave.api import Session
+from domweave.errors import ConfigError
+from domweave.operators.heal import FingerprintStore
 
 
 def parser() -> argparse.ArgumentParser:
@@ -19,6 +22,7 @@ def parser() -> argparse.ArgumentParser:
     kind = e.add_mutually_exclusive_group()
     for name in ("css", "xpath", "text", "regex"):
         kind.add_argument(f"--{name}")
+    e.add_argument("--auto-match", metavar="STORE", help="a folder of fingerprints with which a lost --css selector is mended, and to which what is found is added")
     e.add_argument("--json", action="store_true")
     return p
 
@@ -26,10 +30,18 @@ def parser() -> argparse.ArgumentParser:
 def main(arguments: Sequence[str] | None = None, spark: SparkSession | None = None) -> list[str]:
     args = parser().parse_args(arguments)
     spark = spark or SparkSession.builder.appName("domweave").getOrCreate()
-    pages = Session(spark, spark.read.parquet(args.pages)).page(*args.urls)
+    session = Session(spark, spark.read.parquet(args.pages))
+    pages = session.page(*args.urls)
     views = {"css": pages.css, "xpath": pages.xpath, "text": pages.find_text, "regex": pages.regex}
     chosen = next(((k, v) for k in views if (v := getattr(args, k)) is not None), None)
-    frame = views[chosen[0]](chosen[1]) if chosen else pages.title()
+    if args.auto_match and (not chosen or chosen[0] != "css"):
+        raise ConfigError("--auto-match needs --css")
+    if args.auto_match:
+        mending = session.with_(auto_match=True, fingerprints=FingerprintStore(spark, args.auto_match))
+        found = mending.dataset(*args.urls).field("texts", chosen[1]).build()
+        frame = found.select("url", F.array("texts").alias("texts"))
+    else:
+        frame = views[chosen[0]](chosen[1]) if chosen else pages.title()
     lines = []
     for row in frame.toLocalIterator():
         lines.append(json.dumps(row.asDict(), ensure_ascii=False) if args.json else f"{row[0]}\t{' | '.join(row[1]) if chosen else row[1]}")

@@ -6,15 +6,17 @@ for the pages where it doesn't and for which a fingerprint is stored.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from domweave.errors import MatchError
-from domweave.functions.similarity import WEIGHTS, ancestor_similarity, attribute_similarity, composite, depth_score, jaccard, tag_score, text_similarity
+from domweave.functions.similarity import WEIGHTS, ancestor_score, attribute_similarity, depth_score, jaccard, jaro_winkler, most_alike, tag_score
 from domweave.operators.select import select, words
-from domweave.sources.pages import ancestors, node_text, snippet
+from domweave.sources.pages import ancestors, node_text, snippet, with_dom
 
 #: A candidate must score more than this.
 THRESHOLD = 0.5
@@ -83,12 +85,22 @@ class FingerprintStore:
     def scan(self) -> DataFrame:
         return latest(self.spark.read.parquet(self.path)).where("NOT deleted").drop("deleted")
 
+    def known(self) -> DataFrame:
+        """As `scan`, but empty where nothing was stored yet."""
+        try:
+            return self.scan()
+        except AnalysisException:
+            empty = with_dom(self.spark.createDataFrame([], "url string, html string"))
+            return capture(empty, ["*"])
+
     def get(self, url: str, selector: str) -> DataFrame:
         found = self.spark.read.parquet(self.path).where((F.col("url") == url) & (F.col("selector_used") == selector))
         return latest(found).where("NOT deleted").drop("deleted")
 
-    def delete(self, url: str, selector: str) -> None:
-        gone = self.get(url, selector).withColumn("captured_at", F.current_timestamp())
+    def delete(self, url: str, selector: str, later: bool = False) -> None:
+        """Marks the key as deleted as of now, or, where what is stored may be from a clock that is ahead, of just after it."""
+        after = F.expr("captured_at + INTERVAL 1 MICROSECOND")
+        gone = self.get(url, selector).withColumn("captured_at", F.greatest(F.current_timestamp(), after) if later else F.current_timestamp())
         gone.withColumn("deleted", F.lit(True)).write.mode("append").parquet(self.path)
 
     def compact(self, path: str) -> FingerprintStore:
@@ -98,41 +110,96 @@ class FingerprintStore:
         return other
 
 
-def scores(tag: Column, text: Column, attrs: Column, path: Column, depth: Column, stored: str) -> dict[str, Column]:
-    """The six scores of an element against the fingerprint in column `stored`."""
-    f = F.col(stored)
-    return {
-        "text": text_similarity(text, f["text"]),
-        "class": jaccard(class_list(attrs), f["class_list"]),
-        "ancestor": ancestor_similarity(path, f["ancestor_path"]),
-        "attribute": attribute_similarity(attrs, f["attributes"]),
-        "tag": tag_score(tag, f["tag"]),
-        "depth": depth_score(depth, f["depth"]),
-    }
+_STORED = ("tag", "text", "depth", "attributes", "class_list", "ancestor_path")
+_FOUND = "node_id int, text string, total double"
+
+
+def attach(pages: DataFrame, fingerprints: DataFrame, selectors: Sequence[str], url: str = "url") -> DataFrame:
+    """The pages with `__stored`: the latest fingerprint of each of the selectors under the page's url. Best done before pages are parsed."""
+    known = latest(fingerprints.where(F.col("selector_used").isin(*selectors)))
+    entry = F.struct("selector_used", F.struct(*_STORED))
+    by_url = known.groupBy(F.col("url").alias("__f_url")).agg(F.map_from_entries(F.collect_list(entry)).alias("__stored"))
+    return pages.join(by_url, F.col(url).eqNullSafe(F.col("__f_url")), "left").drop("__f_url")
+
+
+def _plain_scores(nodes: Column, stored: Column, weights: Mapping[str, float]) -> Column:
+    """Of each element the weighted sum of the four scores that columns can express."""
+
+    def one(n: Column) -> Column:
+        parts = {"class": jaccard(class_list(n["attrs"]), stored["class_list"]), "attribute": attribute_similarity(n["attrs"], stored["attributes"]), "tag": tag_score(n["tag"], stored["tag"]), "depth": depth_score(n["depth"], stored["depth"])}
+        return sum((F.lit(float(weights[k])) * v for k, v in parts.items()), F.lit(0.0))
+
+    return F.transform(nodes, one)
+
+
+def most_like(dom: Column, stored: Column, weights: Mapping[str, float] | None = None, threshold: float = THRESHOLD) -> Column:
+    """The element most like the fingerprint, as a struct (node_id, text, total); null where none scores above the threshold.
+
+    Elements are taken by what they can score at most, and the text and the
+    ancestors of those that can't become the best any more are never compared.
+    """
+    w = WEIGHTS | dict(weights or {})
+    whole = sum(w[k] for k in WEIGHTS)
+
+    def best(plain: pa.Array, texts: pa.Array, last: pa.Array, parent: pa.Array, tag: pa.Array, cls: pa.Array, ident: pa.Array, text: pa.Array, path: pa.Array) -> pa.Array:
+        found = []
+        for k in range(len(plain)):
+            if not plain[k].is_valid or not text[k].is_valid:
+                found.append(None)
+                continue
+            scores, words, ends, up, tags, classes, ids = (x[k].as_py() for x in (plain, texts, last, parent, tag, cls, ident))
+            wanted, chain = text[k].as_py(), path[k].as_py() or []
+            top, place, said = threshold * whole, -1, ""
+            for i in sorted(range(len(scores)), key=lambda i: (-scores[i], -i)):
+                if scores[i] + w["ancestor"] + w["text"] < top:
+                    break
+                above, at = [], up[i]
+                while at is not None:
+                    above.append({"tag": tags[at], "class": classes[at], "id": ids[at]})
+                    at = up[at]
+                total = scores[i] + w["ancestor"] * ancestor_score(above, chain)
+                own = " ".join(t for t in words[i : ends[i] + 1] if t)
+                if total + w["text"] * most_alike(len(own), len(wanted)) < top:
+                    continue
+                total += w["text"] * jaro_winkler(own, wanted)
+                if total > top or total == top and place >= 0 and i > place:
+                    top, place, said = total, i, own
+            found.append({"node_id": place, "text": said, "total": top / whole} if place >= 0 else None)
+        return pa.array(found, pa.struct([("node_id", pa.int32()), ("text", pa.string()), ("total", pa.float64())]))
+
+    each = lambda f: F.transform(dom, f)
+    return F.arrow_udf(best, _FOUND)(
+        _plain_scores(dom, stored, w), each(lambda n: n["trimmed"]), each(lambda n: n["last_desc"]), each(lambda n: n["parent"]), each(lambda n: n["tag"]), each(lambda n: _named(n, "class")), each(lambda n: _named(n, "id")), stored["text"], stored["ancestor_path"]
+    )
+
+
+def match(dom: Column, selector: str, stored: Column, weights: Mapping[str, float] | None = None, threshold: float = THRESHOLD) -> Column:
+    """(node_id, text, similarity_score, healed, error) of a page: the selector's first element, or the one most like its fingerprint."""
+    hit = F.get(select(dom, selector), F.lit(0))["node_id"]
+    lost = hit.isNull()
+    # null where nothing is to be scored, so that nothing is sent
+    like = most_like(F.when(lost & stored.isNotNull(), dom), stored, weights, threshold)
+    healed = lost & like.isNotNull()
+    why = F.when(lost & stored.isNull(), F.lit(f"no fingerprint of {selector!r}")).when(lost & ~healed, F.lit(f"nothing is like what {selector!r} selected"))
+    text = F.when(~lost, node_text(dom, F.get(dom, hit))).otherwise(like["text"])
+    return F.struct(F.coalesce(hit, like["node_id"]).alias("node_id"), text.alias("text"), F.when(~lost, 1.0).otherwise(like["total"]).alias("similarity_score"), healed.alias("healed"), why.alias("error"))
 
 
 def auto_match(pages: DataFrame, fingerprints: DataFrame, selector: str, weights: Mapping[str, float] | None = None, threshold: float = THRESHOLD, url: str = "url", dom: str = "dom") -> DataFrame:
-    """(url, node_id, text, similarity_score, healed, error) for each page: the selector's first element, or the one most like its fingerprint.
+    """(url, node_id, text, similarity_score, healed, error): one row for each row of the pages.
 
     Of equal scores the later element wins. Where there is no fingerprint, or
     nothing scores above the threshold, node_id is null and `error` tells why.
-    URLs are expected to be unique.
+    Each page is scored within its own row, so that rows that share a url, or
+    have none, are pages of their own.
     """
-    # one pass over the pages; only those without a hit carry their elements on, each made within the page's row
-    first = pages.select(F.col(url).alias("url"), F.col(dom).alias("dom"), F.get(select(dom, selector), F.lit(0))["node_id"].alias("hit"))
-    candidates = F.transform("dom", lambda n: F.struct(n["node_id"].alias("node_id"), n["tag"].alias("tag"), n["attrs"].alias("attrs"), n["depth"].alias("depth"), node_text(F.col("dom"), n).alias("text"), ancestor_path(F.col("dom"), n).alias("path")))
-    seen = first.select("url", F.when(F.col("hit").isNotNull(), F.struct(F.col("hit").alias("node_id"), node_text(F.col("dom"), F.get("dom", F.col("hit"))).alias("text"))).alias("hit"), F.when(F.col("hit").isNull(), candidates).alias("candidates"))
-    stored = latest(fingerprints.where(F.col("selector_used") == selector)).select(F.col("url").alias("f_url"), F.struct("tag", "text", "depth", "attributes", "class_list", "ancestor_path").alias("stored"))
-    known = seen.join(stored, F.col("url").eqNullSafe(F.col("f_url")), "left")
-    each = known.select("url", "hit", "stored", F.explode_outer(F.when(F.col("stored").isNotNull(), F.col("candidates"))).alias("c")).select("url", "hit", "stored", "c.*")
-    s = scores(F.col("tag"), F.col("text"), F.col("attrs"), F.col("path"), F.col("depth"), "stored")
-    scored = each.select("url", "hit", "node_id", "text", F.col("stored").isNotNull().alias("known"), *[v.alias(f"s_{k}") for k, v in s.items()])
-    total = composite({k: F.col(f"s_{k}") for k in WEIGHTS}, weights)
-    best = scored.withColumn("total", total).groupBy("url").agg(F.max_by(F.struct("node_id", "text", "total"), F.struct("total", "node_id")).alias("b"), F.max("known").alias("known"), F.max("hit").alias("hit"))
-    lost, good = F.col("hit").isNull(), F.coalesce(F.col("b.total") > threshold, F.lit(False))
-    why = F.when(lost & ~F.col("known"), F.lit(f"no fingerprint of {selector!r}")).when(lost & ~good, F.lit(f"nothing is like what {selector!r} selected"))
-    found = lambda name: F.when(~lost, F.col(f"hit.{name}")).when(good, F.col(f"b.{name}")).alias(name)
-    return best.select("url", found("node_id"), found("text"), F.when(~lost, 1.0).when(good, F.col("b.total")).alias("similarity_score"), (lost & good).alias("healed"), why.alias("error"))
+    rows = attach(pages.select(F.col(url).alias("url"), F.col(dom).alias("dom")), fingerprints, [selector])
+    return rows.select("url", match(F.col("dom"), selector, F.col("__stored")[selector], weights, threshold).alias("m")).select("url", "m.*")
+
+
+def found_fingerprints(rows: DataFrame, found: Mapping[str, str], url: str = "url", dom: str = "dom") -> Column:
+    """An array of (selector_used, f, similarity_score) for each selector, whose match is in the column named beside it; f is null where nothing was found."""
+    return F.array(*[F.struct(F.lit(s).alias("selector_used"), fingerprint(F.col(dom), F.get(dom, F.col(c)["node_id"])).alias("f"), F.col(c)["similarity_score"].alias("similarity_score")) for s, c in found.items()])
 
 
 def refresh(pages: DataFrame, matched: DataFrame, selector: str, url: str = "url", dom: str = "dom") -> DataFrame:

@@ -16,6 +16,7 @@ from domweave.operators.select import select, select_ids
 from domweave.plans.shared import shared_folder, written
 from domweave.plans.shop import dollars, link_pages, part_pages, redesigned_pages, spread
 from domweave.sources import pages as P
+from domweave.sources import sinks
 from domweave.streaming.watch import watch_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -161,16 +162,14 @@ def record_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered("""
 SELECT p_partkey, printf('%.2f', p_retailprice) AS price, 'http://shop.example/brand/' || p_brand AS brand_url, p_size::VARCHAR AS size,
-  'http://shop.example/part/key' AS joined, '2024-03-05' AS day FROM part""")
+  'http://shop.example/part/more' AS joined, '2024-03-05' AS day FROM part""")
 def record_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = [
         Rule("price", "b", type="price"), Rule("brand_url", "a[href^='/brand']", type="attribute", attribute="href"), Rule("size", "size", "after_text"),
-        Rule("joined", "th", type="url"), Rule("day", "#none", type="date", default="2024-03-05"),
+        Rule("joined", "a[href^='/brand']", type="url"), Rule("day", "#none", type="date", default="2024-03-05"),
     ]
     out = records.apply_rules(_parts(spark, sf_dir), rules)
-    # of two headers only the first is a reference
-    first = F.regexp_replace("joined", "(?:%20| ).*$", "")
-    return out.select("p_partkey", "price", F.concat(F.lit("http://shop.example"), "brand_url").alias("brand_url"), F.trim("size").alias("size"), first.alias("joined"), "day")
+    return out.select("p_partkey", "price", F.concat(F.lit("http://shop.example"), "brand_url").alias("brand_url"), F.trim("size").alias("size"), "joined", "day")
 
 
 @registered("""
@@ -337,6 +336,119 @@ def auto_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.substring_index("url", "/", -1).cast("bigint").alias("p_partkey"), "text", F.round("similarity_score", 6).alias("score"), "healed")
 
 
+@registered("""
+WITH v AS (SELECT p_partkey, p_partkey % 4 AS kind, '$' || format('{:,.2f}', p_retailprice) AS old FROM part),
+t AS (SELECT *, CASE WHEN p_partkey % 8 >= 4 THEN old || ' now' ELSE old END AS new FROM v),
+s AS (SELECT *, jaro_winkler_similarity(new, old) AS alike FROM t)
+SELECT p_partkey, CASE kind WHEN 3 THEN NULL ELSE new END AS text,
+  round(CASE kind WHEN 0 THEN 1.0 WHEN 1 THEN (2 * alike + 1.5 * 3.7 / 4 + 1 + 0.5) / 7.5 WHEN 2 THEN (2 * alike + 1.5 + 1.5 * 3.7 / 5 + 1 + 0.25) / 7.5 END, 6) AS score,
+  kind IN (1, 2) AS healed, CASE kind WHEN 3 THEN 'nothing is like what ''b.price'' selected' END AS error FROM s""")
+def auto_match_varied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of four kinds after a redesign: as they were, of another class, of another tag and depth, and without the element; half of them with another text."""
+    part = spread(_read(spark, sf_dir, "part"))
+    page = lambda inner, price: F.concat(F.lit('<html><body><div id="main" class="part"><p class="c">'), F.lit(inner[0]), price, F.lit(inner[1]), F.lit("</p></div></body></html>"))
+    key, price = F.col("p_partkey"), dollars("p_retailprice")
+    url, now = F.concat(F.lit("http://shop.example/part/"), key.cast("string")), F.when(key % 8 >= 4, F.concat(price, F.lit(" now"))).otherwise(price)
+    kept = ('<b class="price">', "</b>")
+    after = F.when(key % 4 == 0, page(kept, now)).when(key % 4 == 1, page(('<b class="cost">', "</b>"), now)).when(key % 4 == 2, page(('<i><em class="price">', "</em></i>"), now)).otherwise(F.lit("<html><u>x</u></html>"))
+    stored = heal.capture(P.with_dom(part.select(url.alias("url"), page(kept, price).alias("html"))), ["b.price"])
+    # fingerprints are met before the pages are parsed
+    pages = P.with_dom(heal.attach(part.select("p_partkey", url.alias("url"), after.alias("html")), stored, ["b.price"])).drop("html")
+    m = pages.select("p_partkey", heal.match(F.col("dom"), "b.price", F.col("__stored")["b.price"]).alias("m"))
+    return m.select("p_partkey", "m.text", F.round("m.similarity_score", 6).alias("score"), "m.healed", "m.error")
+
+
+@registered("""
+SELECT 'http://shop.example/part/' || p_partkey AS url, 'b' AS tag, '$' || format('{:,.2f}', p_retailprice) AS text, CASE WHEN p_size > 25 THEN 0.75 ELSE 1.0 END::DOUBLE AS score
+FROM part WHERE p_partkey NOT IN (1, 2)""")
+def fingerprint_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store after two puts, of which the second has some of the keys, and two deletions."""
+    import uuid
+
+    store = heal.FingerprintStore(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
+    found = heal.capture(_parts(spark, sf_dir), ["p b"])
+    store.put(found)
+    later = F.expr("captured_at + INTERVAL 1 MINUTE")
+    store.put(found.join(_parts(spark, sf_dir).where("p_size > 25").select("url"), "url", "left_semi").select(*found.columns).withColumn("captured_at", later).withColumn("similarity_score", F.lit(0.75)))
+    for key in (1, 2):
+        store.delete(f"http://shop.example/part/{key}", "p b", later=True)
+    return store.scan().select("url", "tag", "text", F.col("similarity_score").alias("score"))
+
+
+# sinks and streams
+
+@registered("""
+WITH t AS (SELECT p_partkey::VARCHAR AS key, p_name AS name, '$' || format('{:,.2f}', p_retailprice) AS price FROM part)
+SELECT f AS format, key, name, price FROM t, (SELECT unnest(['csv', 'json', 'parquet']) AS f)""")
+def sink_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same records written in each format and read back."""
+    import uuid
+
+    made = written(records.extract(_parts(spark, sf_dir), [Field("name", "h1"), Field("price", "p b")]).select(F.col("p_partkey").cast("string").alias("key"), "name", "price"), "records")
+    out = []
+    for form in sinks.FORMATS:
+        path = f"{shared_folder(spark)}/sink-{uuid.uuid4().hex}"
+        sinks.write(made, path, form)
+        back = spark.read.option("header", True).schema(made.schema).format(form).load(path)
+        out.append(back.select(F.lit(form).alias("format"), "key", "name", "price"))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@registered("""
+WITH t AS (SELECT page_id, url, trim(regexp_extract(html, '<title>(.*?)</title>', 1)) AS title, len(regexp_extract_all(html, '<a[ >]')) AS n FROM pages)
+SELECT 'good' AS side, page_id, title, NULL AS error FROM t WHERE n % 2 = 0
+UNION ALL SELECT 'reject', page_id, title, 'Required field ''even'' is missing or empty' FROM t WHERE n % 2 = 1""")
+def stream_good_and_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as a stream, their records validated, and the good ones and the rejects each in a folder."""
+    import uuid
+
+    from domweave.streaming.watch import page_stream
+
+    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    pages = page_stream(spark, f"{sf_dir}/pages.parquet*").select("page_id", "url", "html")
+    rows = P.with_dom(pages).select("page_id", derive.title(F.col("dom")).alias("title"), F.when(F.size(select_ids("dom", "a")) % 2 == 0, "yes").otherwise("").alias("even"))
+    checked = records.validate(rows, [Constraint("title"), Constraint("even", required=True)], keep=["page_id"])
+    sinks.stream_split(checked, f"{at}/good", f"{at}/reject", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    good, bad = (spark.read.schema(checked.schema).parquet(f"{at}/{side}").select(F.lit(side).alias("side"), "page_id", "title", "error") for side in ("good", "reject"))
+    return good.unionByName(bad)
+
+
+@registered("""
+SELECT p_partkey, p_partkey::VARCHAR AS d, '3' AS doubled, 0::BIGINT AS below_path, 0::BIGINT AS below_g, 'b' || p_size AS text, 1::BIGINT AS stray FROM part""")
+def element_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shapes are void, of attributes of one name the last holds, foreign elements that close themselves are leaves, and stray end tags do nothing."""
+    key = F.col("p_partkey").cast("string")
+    html = F.concat(F.lit('<svg></u><path d="'), key, F.lit('"><g a="1" A="2" a="3"/><b>b'), F.col("p_size").cast("string"), F.lit("</b></svg></b><hr>"))
+    pages = P.with_dom(spread(_read(spark, sf_dir, "part")).select("p_partkey", html.alias("html")))
+    below = lambda s: F.size(P.children(F.col("dom"), F.get(select("dom", s), F.lit(0)))).cast("bigint")
+    attribute = lambda s, n: derive.attribute(select("dom", s), n)
+    return pages.select("p_partkey", attribute("path", "d").alias("d"), attribute("g", "a").alias("doubled"), below("path").alias("below_path"), below("g").alias("below_g"), derive.joined_text(F.col("dom"), select("dom", "svg b")).alias("text"), _size(select_ids("dom", "hr")).alias("stray"))
+
+
+@registered("""
+SELECT 'http://shop.example/part/' || p_partkey AS url, upper(p_name) AS name, 'PRICE: ' || '$' || format('{:,.2f}', p_retailprice) AS price, p_size > 25 AS many FROM part""")
+def hooked_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A session whose hooks mark prices before parsing and put what is extracted in capitals."""
+    from domweave.api import Session, upper
+
+    marked = lambda html: F.replace(html, F.lit("<b>$"), F.lit("<b>price: $"))
+    session = Session(spark, part_pages(spark, sf_dir), before_parse=(marked,), after_extract=(upper,))
+    out = session.dataset().field("name", "h1").field("price", "p b").field("stock", ".stock").build()
+    return out.select("url", "name", "price", (F.col("stock") == "IN STOCK").alias("many"))
+
+
+@registered("""
+SELECT p_partkey, regexp_replace('$' || format('{:,.2f}', p_retailprice), '[^0-9.]', '', 'g') || '.5' AS strict, regexp_replace('$' || format('{:,.2f}', p_retailprice), '[^0-9]', '', 'g') || '.5' AS lenient, '' AS emptied, 'none' AS missing FROM part""")
+def record_rules_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules in both ways: a price with two points keeps both or the last, and what is empty after cleaning stays empty or takes the default."""
+    html = F.concat(F.lit("<b>"), dollars("p_retailprice"), F.lit(".5</b><i>soon</i>"))
+    pages = P.with_dom(spread(_read(spark, sf_dir, "part")).select("p_partkey", F.lit("http://shop.example/").alias("url"), html.alias("html"))).drop("html")
+    rules = [Rule("strict", "b", type="price"), Rule("emptied", "i", type="price", default="0"), Rule("missing", "u", default="none")]
+    both = records.apply_rules(pages, rules, strict=True)
+    lenient = records.apply_rules(pages, [Rule("lenient", "b", type="price")]).select("p_partkey", "lenient")
+    return both.join(lenient, "p_partkey").select("p_partkey", "strict", "lenient", "emptied", "missing")
+
+
 # change
 
 _CHANGES = """
@@ -397,22 +509,12 @@ def watch_events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 # crawling
 
 @registered("""
-WITH n AS (SELECT * FROM nation WHERE n_regionkey = 0)
-SELECT 'http://graph.example/region/0' AS url, 0 AS depth, 'region' AS title
-UNION ALL SELECT 'http://graph.example/nation/' || n_nationkey, 1, 'nation' FROM n
-UNION ALL SELECT 'http://graph.example/supplier/' || s_suppkey, 2, 'supplier' FROM supplier JOIN n ON s_nationkey = n_nationkey""")
+SELECT DISTINCT 'http://graph.example/region/' || n_regionkey AS url, 0 AS depth, 'region' AS title FROM nation
+UNION ALL SELECT 'http://graph.example/nation/' || n_nationkey, 1, 'nation' FROM nation
+UNION ALL SELECT 'http://graph.example/supplier/' || s_suppkey, 2, 'supplier' FROM supplier""")
 def crawl_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return crawl.crawl(written(link_pages(spark, sf_dir), "pages"), ["http://graph.example/region/0"], [Field("title", "title")], follow="li a", depth=3, limit=None)
-
-
-@registered("""
-WITH RECURSIVE e AS (SELECT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem WHERE l_quantity > 49 UNION SELECT 'p' || l_partkey, 's' || l_suppkey FROM lineitem WHERE l_quantity > 49),
-r AS (SELECT 's0' AS url, 0 AS depth UNION SELECT dst, depth + 1 FROM r JOIN e ON src = url WHERE depth < 3)
-SELECT url, min(depth) AS depth FROM r GROUP BY url""")
-def crawl_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = _read(spark, sf_dir, "lineitem").where("l_quantity > 49").select(F.concat(F.lit("s"), "l_suppkey").alias("s"), F.concat(F.lit("p"), "l_partkey").alias("p")).distinct()
-    links = li.select(F.col("s").alias("src"), F.col("p").alias("dst")).unionByName(li.select(F.col("p").alias("src"), F.col("s").alias("dst"))).withColumn("pos", F.lit(0))
-    return crawl.reach(spark.createDataFrame([("s0",)], "url string"), links, depth=3).select("url", "depth")
+    seeds = [f"http://graph.example/region/{r[0]}" for r in _read(spark, sf_dir, "region").select("r_regionkey").collect()]
+    return crawl.crawl(written(link_pages(spark, sf_dir), "pages"), seeds, [Field("title", "title")], follow="li a", depth=3, limit=None)
 
 
 # a link leads from a supplier to a part or back, so that each level is of the other kind than the one before
@@ -425,8 +527,8 @@ SELECT 's0' AS url, 0 AS depth
 UNION ALL SELECT 'p' || p, 1 FROM p1
 UNION ALL SELECT 's' || s, 2 FROM s2 WHERE s <> 0
 UNION ALL SELECT 'p' || p, 3 FROM p3 ANTI JOIN p1 USING (p)""")
-def crawl_reach_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What s0 reaches over the links of all rows; `crawl_reach` and its SQL take only those of a quantity over 49."""
+def crawl_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What s0 reaches in three steps over the links of all rows."""
     li = _read(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("s"), F.concat(F.lit("p"), "l_partkey").alias("p")).distinct()
     links = li.select(F.col("s").alias("src"), F.col("p").alias("dst")).unionByName(li.select(F.col("p").alias("src"), F.col("s").alias("dst"))).withColumn("pos", F.lit(0))
     return crawl.reach(spark.createDataFrame([("s0",)], "url string"), links, depth=3).select("url", "depth")

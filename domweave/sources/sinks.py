@@ -9,6 +9,7 @@ from pathlib import Path
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
 
 from domweave.errors import ExportError
 
@@ -59,3 +60,38 @@ def stream_to(records: DataFrame, path: str, checkpoint: str, format: str = "par
     good = records.where(f"`{error}` IS NULL").drop(error) if error else records
     writer = good.writeStream.format(format).option("path", path).option("checkpointLocation", checkpoint)
     return (writer.option("header", True) if format == "csv" else writer).outputMode("append")
+
+
+def stream_split(records: DataFrame, good: str, rejects: str, checkpoint: str, format: str = "parquet", error: str = "error"):
+    """A streaming query that appends rows without an error to one folder and the others, with it, to another.
+
+    Their numbers are in each progress under the name `records`, as `good` and
+    `rejects`. Both folders keep the `error` column. A batch that is done again
+    after a failure goes to the same place, so that no row is there twice.
+    """
+    if format not in FORMATS:
+        raise ExportError(f"format {format!r} isn't one of {FORMATS}")
+    failed = F.col(f"`{error}`").isNotNull()
+    counted = records.observe("records", F.count_if(~failed).alias("good"), F.count_if(failed).alias("rejects"))
+
+    def split(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
+        try:
+            for path, rows in ((good, batch.where(~failed)), (rejects, batch.where(failed))):
+                write(rows, f"{path}/batch={number}", format, "overwrite")
+        finally:
+            batch.unpersist()
+
+    return counted.writeStream.foreachBatch(split).option("checkpointLocation", checkpoint).outputMode("append")
+
+
+def write_table(records: DataFrame, path: str) -> int:
+    """All records as one local CSV file with a header, passed through the driver one partition at a time; without records an empty file. Their number."""
+    number = 0
+    with open(path, "w", encoding="utf-8", newline="") as f:
+        out = csv.writer(f)
+        for number, row in enumerate(records.toLocalIterator(), 1):
+            if number == 1:
+                out.writerow(records.columns)
+            out.writerow(["" if v is None else v for v in row])
+    return number

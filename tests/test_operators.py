@@ -256,3 +256,62 @@ def test_reach_over_all_rows(spark, tmp_path):
         want |= dict.fromkeys(level, depth)
     (name,) = [n for n in bench.NAMES if n.startswith("crawl_reach")]
     assert {(r.url, r.depth) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()} == set(want.items()) and max(want.values()) == 3
+
+
+def test_best_element_against_all(spark):
+    """The pruned search against scores of every element, on random pages, some of which share a url or have none."""
+    rng = random.Random(3)
+    word = lambda: rng.choice(["alpha", "beta", "gamma delta", "$9.99", ""])
+
+    def html(depth=0):
+        tag, attrs = rng.choice(["div", "p", "b", "i"]), "".join(f' {a}="{rng.choice(["x", "y", "x y"])}"' for a in ("class", "id", "href") if rng.random() < 0.4)
+        inner = "".join(html(depth + 1) for _ in range(rng.randint(0, 3))) if depth < 4 else ""
+        return f"<{tag}{attrs}>{word()}{inner}</{tag}>"
+
+    urls = [f"http://s/{k}" for k in range(12)]
+    old = with_dom(spark.createDataFrame([(u, f'<u class="x y" href="x">{word()}</u>' + html()) for u in urls] + [(None, "<u>beta</u>")], "url string, html string"))
+    new = [(u, html()) for u in [*urls, *urls[:3], None, None, "http://s/none"]]
+    stored = heal.capture(old, ["u"])
+    weights = {"text": 1.0, "depth": 3.0}
+    pages = with_dom(spark.createDataFrame(new, "url string, html string"))
+    got = heal.auto_match(pages, stored, "u", weights, 0.3).collect()
+    assert len(got) == len(new)
+    nodes = pages.select("url", "html", F.col("dom"), F.explode("dom").alias("n")).join(heal.latest(stored).select(F.col("url").alias("u"), F.struct("tag", "text", "depth", "attributes", "class_list", "ancestor_path").alias("f")), F.col("url").eqNullSafe(F.col("u")))
+    from domweave.sources.pages import node_text
+
+    parts = {"text": sim.text_similarity(node_text(F.col("dom"), F.col("n")), F.col("f.text")), "class": sim.jaccard(heal.class_list(F.col("n.attrs")), F.col("f.class_list")), "ancestor": sim.ancestor_similarity(heal.ancestor_path(F.col("dom"), F.col("n")), F.col("f.ancestor_path")), "attribute": sim.attribute_similarity(F.col("n.attrs"), F.col("f.attributes")), "tag": sim.tag_score(F.col("n.tag"), F.col("f.tag")), "depth": sim.depth_score(F.col("n.depth"), F.col("f.depth"))}
+    scored = nodes.select("url", "html", "n.node_id", *[v.alias(k) for k, v in parts.items()]).withColumn("total", sim.composite({k: F.col(k) for k in parts}, weights))
+    best = {}
+    for r in scored.collect():
+        at = best.get((r.url, r.html))
+        if r.total > 0.3 and (at is None or (round(r.total, 9), r.node_id) > at):
+            best[r.url, r.html] = (round(r.total, 9), r.node_id)
+    want = sorted((u or "", *(best.get((u, h)) or (0, -1))) for u, h in new)
+    assert sorted((r.url or "", round(r.similarity_score or 0, 9), -1 if r.node_id is None else r.node_id) for r in got) == want
+    assert len(best) > 8
+
+
+def test_error_detail(spark):
+    from domweave.errors import detail
+
+    df = spark.createDataFrame([("Required field 'a' is missing or empty",), ("Field 'b': value 'x' is not a valid integer",), ("nothing is like what 'u' selected",), ("odd",), (None,)], "error string")
+    found = [r[0] for r in df.select(detail("error")).collect()]
+    assert [f and (f.code, f.stage, f.recoverable) for f in found] == [("REQUIRED_FIELD", "validate", True), ("FIELD_TYPE", "validate", True), ("NO_MATCH", "match", True), ("OTHER", "extract", False), None]
+
+
+def test_stream_split_counts(spark, tmp_path):
+    spark.createDataFrame([("1", ""), ("x", "2"), ("3", "3")], "a string, b string").coalesce(1).write.parquet(str(tmp_path / "in"))
+    rows = spark.readStream.schema("a string, b string").parquet(str(tmp_path / "in"))
+    checked = records.validate(rows, [Constraint("a", "integer"), Constraint("b", required=True)])
+    query = sinks.stream_split(checked, str(tmp_path / "good"), str(tmp_path / "bad"), str(tmp_path / "state"), "json").trigger(availableNow=True).start()
+    query.awaitTermination()
+    counts = [p.observedMetrics["records"] for p in query.recentProgress if p.observedMetrics.get("records") and (p.observedMetrics["records"].good or p.observedMetrics["records"].rejects)]
+    assert [(c.good, c.rejects) for c in counts] == [(1, 2)]
+    assert [r.a for r in spark.read.json(str(tmp_path / "good")).collect()] == ["3"] and spark.read.json(str(tmp_path / "bad")).count() == 2
+
+
+def test_one_file_of_many_records(spark, tmp_path):
+    df = spark.createDataFrame([("a,b", None), ("c", 1)], "x string, y int").coalesce(1)
+    assert sinks.write_table(df, str(tmp_path / "t.csv")) == 2
+    assert (tmp_path / "t.csv").read_text().splitlines() == ["x,y", '"a,b",', "c,1"]
+    assert sinks.write_table(df.limit(0), str(tmp_path / "e.csv")) == 0 and (tmp_path / "e.csv").read_text() == ""
