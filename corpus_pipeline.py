@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from domweave.llm.common import new_path, unused
+from domweave.llm.common import delete, new_path, temporary, unused
 from domweave.llm.line_dedup import dedup_lines
 from domweave.llm.mixing import mix_sources
 from domweave.llm.packing import pack_documents
@@ -36,7 +36,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that of the smallest doc_id; rows that share a doc_id become one, null ones stay."""
+    """One document of each group of near-duplicates, that of the smallest doc_id; repeated rows become one, other texts of a doc_id and null ids stay."""
     return keep_one(docs)
 
 
@@ -71,10 +71,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of `sf_dir`."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents of `sf_dir`. What a stage wrote for itself goes when its result is written, and that when the next one's is."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         path = new_path(spark, name)
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with temporary(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            delete(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
