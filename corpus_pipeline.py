@@ -48,7 +48,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     id_, source, number, copy = (unused(docs, c) for c in ("__id", "__source", "__copies", "__copy"))
     copies = mix_sources(docs).groupBy(F.col("doc_id").alias(id_), F.col("source").alias(source)).agg(F.max("copies").alias(number))
     same = F.col("doc_id").eqNullSafe(F.col(id_)) & F.col("source").eqNullSafe(F.col(source))
-    joined = docs.join(copies.where(F.col(number) > 0), same)
+    joined = docs.join(copies.where(F.col(number) > 0).hint("merge"), same)
     each = F.explode(F.sequence(F.lit(1).cast("long"), F.col(number))).alias(copy)
     return joined.select(*[F.col(f"`{c}`") for c in docs.columns], each).drop(copy)
 

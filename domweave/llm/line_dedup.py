@@ -184,7 +184,7 @@ def dedup_lines(docs: DataFrame, batches: int = 6, fanout: int = 3, path: str |
     # the line number and half of the line's hash, as rows that share a doc_id may differ at a number
     mark = F.shiftleft(F.col("line_no").cast("long"), 32).bitwiseOR(F.col("h1").bitwiseAND(F.lit(0xFFFFFFFF)))
     keep = keep.groupBy(F.col("doc_id").alias(id_)).agg(F.collect_set(mark).alias(kept))
-    joined = docs.join(keep, F.col("doc_id").eqNullSafe(F.col(id_)), "left")
+    joined = docs.join(keep.hint("merge"), F.col("doc_id").eqNullSafe(F.col(id_)), "left")
     text = _rebuilt(F.col("text"), F.col(kept))
     rest = [F.length(new).cast("long").alias("n_chars") if c == "n_chars" else F.col(new).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
     return joined.withColumn(new, text).select(*rest)

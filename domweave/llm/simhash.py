@@ -132,7 +132,8 @@ def near_pairs(prints: DataFrame, radius: int = RADIUS, pivots: int = PIVOTS, ag
     rows = table.select("key", "a", "b", *kept, F.explode(F.array(*meets)).alias("m")).select("key", "a", "b", *kept, "m.j", "m.meet")
     x, y = rows.alias("x"), rows.alias("y")
     # both sides carry and join on the same columns, so that one shuffle of the rows serves both
-    met = x.join(y, (F.col("x.meet") == F.col("y.meet")) & (F.col("x.j") == F.col("y.j")) & (F.col("x.key") < F.col("y.key")))
+    # Spark sizes an explode's rows as those before it, and would broadcast them
+    met = x.join(y.hint("merge"), (F.col("x.meet") == F.col("y.meet")) & (F.col("x.j") == F.col("y.j")) & (F.col("x.key") < F.col("y.key")))
     for k in range(pivots):
         at = [F.shiftright(F.col(f"{s}.t{k // 8}"), 7 * (k % 8)).bitwiseAND(F.lit(127)) for s in "xy"]
         met = met.where(F.abs(at[0] - at[1]) <= radius)
@@ -146,17 +147,18 @@ def components(edges: DataFrame) -> DataFrame:
     """(key, root): the smallest key of each edge's connected component, by alternating large and small stars.
 
     Every round is written to the shared folder; a few rounds do, as their
-    number grows with the logarithm of a component's diameter.
+    number grows with the logarithm of a component's diameter. Nothing is
+    broadcast, as packed files of numbers are much smaller than their rows in memory.
     """
     edges = written(edges.select(F.col("x").alias("u"), F.col("y").alias("v")), "edges")
     while True:
         before = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = written(large, "large")
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(small_least, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        small = large.join(small_least.hint("merge"), "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         edges = written(small, "edges")
         if edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() == before:
             return edges.select(F.col("u").alias("key"), F.col("v").alias("root"))
@@ -168,9 +170,9 @@ def _classes(docs: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
     first = prints.groupBy("a", "b").agg(F.min(F.struct("doc_id", "h")).alias("first"))
     same = written(first.withColumn("key", F.monotonically_increasing_id()), "same")
     groups = components(near_pairs(same.select("key", "a", "b"), radius, agree=agreeing(same.count(), radius)))
-    members = same.join(groups.unionByName(groups.select(F.col("root").alias("key"), "root").distinct()), "key").select("key", "root", "first")
-    stays = members.join(members.groupBy("root").agg(F.min("first").alias("stays")), "root").select("key", "stays")
-    return prints, same.join(stays, "key", "left").select("a", "b", F.coalesce("stays", "first").alias("stays"))
+    members = same.join(groups.unionByName(groups.select(F.col("root").alias("key"), "root").distinct()).hint("merge"), "key").select("key", "root", "first")
+    stays = members.join(members.groupBy("root").agg(F.min("first").alias("stays")).hint("merge"), "root").select("key", "stays")
+    return prints, same.join(stays.hint("merge"), "key", "left").select("a", "b", F.coalesce("stays", "first").alias("stays"))
 
 
 def duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -189,7 +191,7 @@ def duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     Other columns are not read, so their names can't clash.
     """
     prints, classes = _classes(docs, radius)
-    gone = prints.join(classes, ["a", "b"]).where("doc_id <> stays.doc_id OR h <> stays.h")
+    gone = prints.join(classes.hint("merge"), ["a", "b"]).where("doc_id <> stays.doc_id OR h <> stays.h")
     return gone.groupBy("doc_id", "h", "stays").agg(F.count("*")).select("doc_id", F.col("stays.doc_id").alias("duplicate_of"))
 
 
@@ -203,9 +205,9 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     prints, classes = _classes(docs, radius)
     id_, h, hash_, row = (unused(docs, c) for c in ("__gone", "__h", "__hash", "__row"))
-    gone = prints.join(classes, ["a", "b"]).where("doc_id <> stays.doc_id OR h <> stays.h").select(F.col("doc_id").alias(id_), F.col("h").alias(h))
+    gone = prints.join(classes.hint("merge"), ["a", "b"]).where("doc_id <> stays.doc_id OR h <> stays.h").select(F.col("doc_id").alias(id_), F.col("h").alias(h))
     hashed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row), "doc_id", _text_hash().alias(hash_))
-    left = hashed.join(gone, (F.col("doc_id") == F.col(id_)) & (F.col(hash_) == F.col(h)), "left_anti")
+    left = hashed.join(gone.hint("merge"), (F.col("doc_id") == F.col(id_)) & (F.col(hash_) == F.col(h)), "left_anti")
     # JSON, as maps can't be compared
     others = F.to_json(F.struct(F.lit(0).alias("_"), *[F.col(f"{row}.`{c}`") for c in docs.columns if c not in ("doc_id", "text")]))
     one = left.where("doc_id IS NOT NULL").groupBy("doc_id", hash_).agg(F.min_by(row, others).alias(row))

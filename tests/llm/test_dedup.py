@@ -112,6 +112,13 @@ def test_near_pairs_are_all_found(spark):
     assert [simhash.agreeing(n) for n in (10**5, 10**8)] == [2, 4] and simhash.agreeing(10**7) == 3
 
 
+def test_exploded_rows_are_not_broadcast(spark):
+    # sized as the few bytes before the explode, they would be at Spark's default threshold
+    df = spark.range(50).selectExpr("id AS key", "id * 7919 AS a", "id AS b")
+    plan = simhash.near_pairs(df)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_components_of_chains(spark):
     edges = [(k, k + 1) for k in range(0, 50)] + [(100 + k, 130 - k) for k in range(15)] + [(5, 5)]
     out = simhash.components(spark.createDataFrame(edges, "x bigint, y bigint")).collect()
