@@ -230,6 +230,23 @@ def test_watch_stream_goes_on_where_it_stopped(spark, tmp_path):
     assert seen == {"all": 2, "price": [("1", "2"), ("2", "5")]}
 
 
+def test_watch_stream_keeps_the_keys_of_a_bucket_apart(spark, tmp_path):
+    from domweave.streaming import watch
+
+    schema = "a string, b timestamp, c double, ts int, value string"
+    stamps = "timestampadd(MICROSECOND, id % 2, timestamp'2024-01-01') AS b"
+    source = spark.range(40).selectExpr("CASE id % 3 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE '1' END AS a", stamps, "CASE id % 5 WHEN 0 THEN 0.0D WHEN 1 THEN -0.0D ELSE double('nan') END AS c", "int(id) AS ts", "string(id % 7) AS value")
+    for lo in (0, 20):
+        source.where(f"ts >= {lo} AND ts < {lo + 20}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        found = watch.watch_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), ["a", "b", "c"], buckets=2)
+        found.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out")).select("ts", "old_value", "new_value")
+    want = change.watch(source, ["a", "b", "c"]).select("ts", "old_value", "new_value")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 20
+    # one state for a bucket, not one for each key
+    assert spark.read.format("statestore").load(str(tmp_path / "state")).count() <= 2
+
+
 def test_page_stream(spark, tmp_path):
     from domweave.streaming.watch import extract_stream, page_stream
 
