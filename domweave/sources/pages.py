@@ -10,7 +10,10 @@ numbers from the parent up.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +21,22 @@ from domweave.sources.tokens import SPACE, parse
 
 DOM_TYPE = "array<struct<node_id:int,parent:int,last_desc:int,depth:int,sib_pos:int,prev:int,tag:string,text:string,trimmed:string,attrs:map<string,string>,anc:array<int>>>"
 
+#: Bytes of source, or elements, that Python takes up at once; a single page may have more.
+PART_BYTES, PART_NODES = 1 << 18, 1 << 12
+
+
+def parts(sizes: pa.Array, most: int) -> Iterator[slice]:
+    """Stretches of a batch whose sizes make no more than `most`, or of one row. A batch's memory then doesn't grow with its rows."""
+    at, held = 0, 0
+    for k, size in enumerate(sizes.to_pylist()):
+        if k > at and held + (size or 0) > most:
+            yield slice(at, k)
+            at, held = k, 0
+        # rows without anything count too
+        held += (size or 0) + 1
+    if at < len(sizes):
+        yield slice(at, len(sizes))
+
 
 def _lists(lengths: list[int]) -> pa.Array:
     total, out = 0, [0]
@@ -61,13 +80,20 @@ def dom_array(sources: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(out.offsets, out.values, mask=pa.array([p is None for p in pages]))
 
 
+def dom_arrays(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """`dom_array` of each batch, some pages at a time."""
+    for sources in batches:
+        for part in parts(pc.binary_length(sources), PART_BYTES):
+            yield dom_array(sources[part])
+
+
 def parse_column(html: str | Column) -> Column:
     """The column of elements of a column of source (string, or binary in UTF-8; bytes that aren't become U+FFFD).
 
     The expression counts as not deterministic, so that the optimiser never
     duplicates it; rows should be filtered before it.
     """
-    kernel = F.arrow_udf(dom_array, DOM_TYPE).asNondeterministic()
+    kernel = F.arrow_udf(dom_arrays, DOM_TYPE).asNondeterministic()
     return kernel(F.col(html) if isinstance(html, str) else html)
 
 

@@ -1,9 +1,11 @@
 """The kernel that turns source into elements, rule by rule."""
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from domweave.sources import pages
 from domweave.sources.tokens import parse
 
 
@@ -71,3 +73,12 @@ def test_document_order(pieces):
 @given(st.text(alphabet="<>/abp!-='\" &é", max_size=60))
 def test_anything_parses(text):
     parse(text)
+
+
+def test_a_batch_is_parsed_in_small_parts():
+    sources = pa.array(["<p>x</p>" * 400, None, "", "<a href=u>" * 50_000, *["<p>a<b c=d>e</b></p>"] * 60_000])
+    found = list(pages.dom_arrays(iter([sources[:0], sources])))
+    assert pa.concat_arrays(found).equals(pages.dom_array(sources))
+    sizes = iter([0 if x is None else len(x) for x in sources.to_pylist()])
+    held = [[next(sizes) for _ in range(len(part))] for part in found]
+    assert len(held) > 4 and all(len(x) == 1 or sum(x) <= pages.PART_BYTES for x in held)
