@@ -67,6 +67,17 @@ def test_links_keep_what_cant_be_resolved(page):
     assert page(html, "nothing").select(derive.links(F.col("dom"), F.col("url"))).first()[0] == ["/x", "http://"]
 
 
+def test_links_are_resolved_in_small_parts():
+    import pyarrow as pa
+
+    from domweave.functions.urls import resolve_lists
+
+    lists = pa.array([["x", "http://"], None, [], ["y"] * 9000, *[["z"]] * 20_000], pa.list_(pa.string()))
+    found = [x.to_pylist() for x in resolve_lists(iter([(pa.array([URL] * len(lists)), lists)]))]
+    assert [x for part in found for x in part][:3] == [["https://example.com/x", "http://"], None, []]
+    assert sum(map(len, found)) == len(lists) and all(len(x) == 1 or sum(len(y or []) for y in x) <= 4096 for x in found)
+
+
 def test_records(page):
     df = page("<h2>R1</h2><i>$10</i><h2>R2</h2><h2> </h2>")
     fields = [Field("h", "h2"), Field("i", "i", default="x", transform=F.lower), Field("none", "u", default="D", transform=F.lower), Field("url", "i")]
