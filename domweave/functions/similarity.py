@@ -13,8 +13,13 @@ WEIGHTS = {"text": 2.0, "class": 1.5, "ancestor": 1.5, "attribute": 1.0, "tag":
 
 def jaccard(a: Column, b: Column) -> Column:
     """Of two arrays as sets; 1 for two empty ones."""
-    union = F.size(F.array_union(a, b))
-    return F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / union)
+
+    def of(v: Column) -> Column:
+        union = F.size(F.array_union(v["a"], v["b"]))
+        return F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect(v["a"], v["b"])) / union)
+
+    # so that each side is computed once
+    return F.get(F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), of), F.lit(0))
 
 
 def attribute_similarity(a: Column, b: Column) -> Column:

@@ -6,17 +6,18 @@ for the pages where it doesn't and for which a fingerprint is stored.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from domweave.errors import MatchError
 from domweave.functions.similarity import WEIGHTS, ancestor_score, attribute_similarity, depth_score, jaccard, jaro_winkler, most_alike, tag_score
 from domweave.operators.select import select, words
-from domweave.sources.pages import ancestors, node_text, snippet, with_dom
+from domweave.sources.pages import PART_NODES, ancestors, node_text, parts, snippet, with_dom
 
 #: A candidate must score more than this.
 THRESHOLD = 0.5
@@ -35,26 +36,37 @@ def ancestor_path(dom: Column, node: Column) -> Column:
     return F.transform(above, lambda a: F.struct(a["tag"].alias("tag"), _named(a, "class").alias("class"), _named(a, "id").alias("id"), a["depth"].alias("depth")))
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """The body over a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def fingerprint(dom: Column, node: Column) -> Column:
     """What is remembered of an element, as a struct; null for a null element."""
-    up = F.get(dom, node["parent"])
-    text, path, classes = node_text(dom, node), ancestor_path(dom, node), class_list(node["attrs"])
-    known = F.struct(
-        node["tag"].alias("tag"),
-        text.alias("text"),
-        snippet(node).alias("html_snippet"),
-        node["depth"].alias("depth"),
-        node["sib_pos"].alias("sibling_index"),
-        F.coalesce(up["tag"], F.lit("")).alias("parent_tag"),
-        _named(up, "class").alias("parent_class"),
-        _named(up, "id").alias("parent_id"),
-        node["attrs"].alias("attributes"),
-        classes.alias("class_list"),
-        node["attrs"]["id"].alias("id"),
-        path.alias("ancestor_path"),
-        F.xxhash64(node["tag"], text, node["depth"], classes, F.coalesce(node["attrs"]["id"], F.lit("")), path, node["sib_pos"]).alias("hash"),
-    )
-    return F.when(node["node_id"].isNotNull(), known)
+
+    def known(n: Column, v: Column) -> Column:
+        up, text, path, classes = (v[k] for k in ("up", "text", "path", "classes"))
+        return F.struct(
+            n["tag"].alias("tag"),
+            text.alias("text"),
+            snippet(n).alias("html_snippet"),
+            n["depth"].alias("depth"),
+            n["sib_pos"].alias("sibling_index"),
+            F.coalesce(up["tag"], F.lit("")).alias("parent_tag"),
+            _named(up, "class").alias("parent_class"),
+            _named(up, "id").alias("parent_id"),
+            n["attrs"].alias("attributes"),
+            classes.alias("class_list"),
+            n["attrs"]["id"].alias("id"),
+            path.alias("ancestor_path"),
+            F.xxhash64(n["tag"], text, n["depth"], classes, F.coalesce(n["attrs"]["id"], F.lit("")), path, n["sib_pos"]).alias("hash"),
+        )
+
+    def of(n: Column) -> Column:
+        views = F.struct(F.get(dom, n["parent"]).alias("up"), node_text(dom, n).alias("text"), ancestor_path(dom, n).alias("path"), class_list(n["attrs"]).alias("classes"))
+        return F.when(n["node_id"].isNotNull(), once(views, lambda v: known(n, v)))
+
+    return once(node, of)
 
 
 def capture(pages: DataFrame, selectors: Mapping[str, str] | list[str], url: str = "url", dom: str = "dom") -> DataFrame:
@@ -65,12 +77,17 @@ def capture(pages: DataFrame, selectors: Mapping[str, str] | list[str], url: str
     return rows.select("url", "__s.selector_used", "__s.f.*", F.current_timestamp().alias("captured_at"), F.lit(1.0).alias("similarity_score"))
 
 
+def _newest(fingerprints: DataFrame, *keys: str) -> DataFrame:
+    rank = "__rank".ljust(max(map(len, fingerprints.columns)) + 1, "_")
+    w = Window.partitionBy(*keys).orderBy(F.desc("captured_at"), F.desc("hash"))
+    # a window, as what isn't read later needn't be carried through it
+    return fingerprints.withColumn(rank, F.row_number().over(w)).where(F.col(rank) == 1).drop(rank)
+
+
 def latest(fingerprints: DataFrame) -> DataFrame:
     """Of each (url, selector_used) the one captured last; of several at once the one with the greatest hash."""
     kept = [c for c in fingerprints.columns if c not in ("url", "selector_used")]
-    # a map can't be compared, so the row travels beside what orders it
-    newest = F.max_by(F.struct(*kept), F.struct("captured_at", "hash")).alias("r")
-    return fingerprints.groupBy("url", "selector_used").agg(newest).select("url", "selector_used", *[F.col(f"r.`{c}`") for c in kept])
+    return _newest(fingerprints, "url", "selector_used").select("url", "selector_used", *[F.col(f"`{c}`") for c in kept])
 
 
 class FingerprintStore:
@@ -116,10 +133,17 @@ _FOUND = "node_id int, text string, total double"
 
 def attach(pages: DataFrame, fingerprints: DataFrame, selectors: Sequence[str], url: str = "url") -> DataFrame:
     """The pages with `__stored`: the latest fingerprint of each of the selectors under the page's url. Best done before pages are parsed."""
-    known = latest(fingerprints.where(F.col("selector_used").isin(*selectors)))
-    entry = F.struct("selector_used", F.struct(*_STORED))
-    by_url = known.groupBy(F.col("url").alias("__f_url")).agg(F.map_from_entries(F.collect_list(entry)).alias("__stored"))
-    return pages.join(by_url, F.col(url).eqNullSafe(F.col("__f_url")), "left").drop("__f_url")
+    names = list(dict.fromkeys(selectors))
+    # null urls meet, too, and one shuffle and sort by these two serves what follows
+    same = lambda c: {"value": F.coalesce(c, F.lit("")), "none": c.isNull()}
+    by = ["__f_value", "__f_none"]
+    rows = fingerprints.where(F.col("selector_used").isin(*names)).select("selector_used", F.struct(*_STORED).alias("__f"), "captured_at", "hash", *[v.alias(f"__f_{k}") for k, v in same(F.col("url")).items()])
+    newest = _newest(rows.repartition(*by), *by, "selector_used")
+    found = newest.groupBy(*by).agg(*[F.first(F.when(F.col("selector_used") == s, F.col("__f")), ignorenulls=True).alias(f"__f_{k}") for k, s in enumerate(names)])
+    entries = F.filter(F.array(*[F.struct(F.lit(s).alias("key"), F.col(f"__f_{k}").alias("value")) for k, s in enumerate(names)]), lambda e: e["value"].isNotNull())
+    by_url = found.select(*by, F.map_from_entries(entries).alias("__stored"))
+    on = [v == F.col(f"__f_{k}") for k, v in same(F.col(url)).items()]
+    return pages.join(by_url.hint("merge"), on, "left").drop(*by)
 
 
 def _plain_scores(nodes: Column, stored: Column, weights: Mapping[str, float]) -> Column:
@@ -132,57 +156,71 @@ def _plain_scores(nodes: Column, stored: Column, weights: Mapping[str, float]) -
     return F.transform(nodes, one)
 
 
-def most_like(dom: Column, stored: Column, weights: Mapping[str, float] | None = None, threshold: float = THRESHOLD) -> Column:
+def most_like(dom: Column, stored: Column, weights: Mapping[str, float] | None = None, threshold: float = THRESHOLD, where: Column | None = None) -> Column:
     """The element most like the fingerprint, as a struct (node_id, text, total); null where none scores above the threshold.
 
     Elements are taken by what they can score at most, and the text and the
     ancestors of those that can't become the best any more are never compared.
+    Pages for which `where` isn't true aren't sent, and get null.
     """
     w = WEIGHTS | dict(weights or {})
     whole = sum(w[k] for k in WEIGHTS)
 
-    def best(plain: pa.Array, texts: pa.Array, last: pa.Array, parent: pa.Array, tag: pa.Array, cls: pa.Array, ident: pa.Array, text: pa.Array, path: pa.Array) -> pa.Array:
-        found = []
-        for k in range(len(plain)):
-            if not plain[k].is_valid or not text[k].is_valid:
-                found.append(None)
+    def likest(page: dict, stored: dict) -> dict | None:
+        scores, words, ends, up, tags, classes, ids = (page[k] for k in ("plain", "trimmed", "last_desc", "parent", "tag", "class", "id"))
+        wanted, chain = stored["text"], stored["ancestor_path"] or []
+        top, place, said = threshold * whole, -1, ""
+        for i in sorted(range(len(scores)), key=lambda i: (-scores[i], -i)):
+            if scores[i] + w["ancestor"] + w["text"] < top:
+                break
+            own = " ".join(t for t in words[i : ends[i] + 1] if t)
+            most = w["text"] * most_alike(len(own), len(wanted))
+            if scores[i] + w["ancestor"] + most < top:
+                continue
+            above, at = [], up[i]
+            while at is not None:
+                above.append({"tag": tags[at], "class": classes[at], "id": ids[at]})
+                at = up[at]
+            total = scores[i] + w["ancestor"] * ancestor_score(above, chain)
+            if total + most < top:
                 continue
-            scores, words, ends, up, tags, classes, ids = (x[k].as_py() for x in (plain, texts, last, parent, tag, cls, ident))
-            wanted, chain = text[k].as_py(), path[k].as_py() or []
-            top, place, said = threshold * whole, -1, ""
-            for i in sorted(range(len(scores)), key=lambda i: (-scores[i], -i)):
-                if scores[i] + w["ancestor"] + w["text"] < top:
-                    break
-                above, at = [], up[i]
-                while at is not None:
-                    above.append({"tag": tags[at], "class": classes[at], "id": ids[at]})
-                    at = up[at]
-                total = scores[i] + w["ancestor"] * ancestor_score(above, chain)
-                own = " ".join(t for t in words[i : ends[i] + 1] if t)
-                if total + w["text"] * most_alike(len(own), len(wanted)) < top:
-                    continue
-                total += w["text"] * jaro_winkler(own, wanted)
-                if total > top or total == top and place >= 0 and i > place:
-                    top, place, said = total, i, own
-            found.append({"node_id": place, "text": said, "total": top / whole} if place >= 0 else None)
-        return pa.array(found, pa.struct([("node_id", pa.int32()), ("text", pa.string()), ("total", pa.float64())]))
-
-    each = lambda f: F.transform(dom, f)
-    return F.arrow_udf(best, _FOUND)(
-        _plain_scores(dom, stored, w), each(lambda n: n["trimmed"]), each(lambda n: n["last_desc"]), each(lambda n: n["parent"]), each(lambda n: n["tag"]), each(lambda n: _named(n, "class")), each(lambda n: _named(n, "id")), stored["text"], stored["ancestor_path"]
-    )
+            total += w["text"] * jaro_winkler(own, wanted)
+            if total > top or total == top and place >= 0 and i > place:
+                top, place, said = total, i, own
+        return {"node_id": place, "text": said, "total": top / whole} if place >= 0 else None
+
+    def best(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for sent in batches:
+            for part in parts(pc.list_value_length(sent.field("plain")), PART_NODES):
+                rows = sent[part].to_pylist()
+                found = [None if r is None or r["plain"] is None or r["stored"]["text"] is None else likest(r, r["stored"]) for r in rows]
+                yield pa.array(found, pa.struct([("node_id", pa.int32()), ("text", pa.string()), ("total", pa.float64())]))
+
+    field = lambda c: F.transform(dom, lambda n: n[c]).alias(c)
+    named = lambda c: F.transform(dom, lambda n: _named(n, c)).alias(c)
+    sent = F.struct(
+        _plain_scores(dom, stored, w).alias("plain"), *map(field, ("trimmed", "last_desc", "parent", "tag")), *map(named, ("class", "id")),
+        F.struct(stored["text"].alias("text"), stored["ancestor_path"].alias("ancestor_path")).alias("stored"),
+    )
+    # one struct, so that what tells whether a page is to be scored is computed once
+    needed = stored.isNotNull() if where is None else where & stored.isNotNull()
+    return F.arrow_udf(best, _FOUND)(F.when(needed, sent))
 
 
 def match(dom: Column, selector: str, stored: Column, weights: Mapping[str, float] | None = None, threshold: float = THRESHOLD) -> Column:
     """(node_id, text, similarity_score, healed, error) of a page: the selector's first element, or the one most like its fingerprint."""
-    hit = F.get(select(dom, selector), F.lit(0))["node_id"]
-    lost = hit.isNull()
-    # null where nothing is to be scored, so that nothing is sent
-    like = most_like(F.when(lost & stored.isNotNull(), dom), stored, weights, threshold)
-    healed = lost & like.isNotNull()
-    why = F.when(lost & stored.isNull(), F.lit(f"no fingerprint of {selector!r}")).when(lost & ~healed, F.lit(f"nothing is like what {selector!r} selected"))
-    text = F.when(~lost, node_text(dom, F.get(dom, hit))).otherwise(like["text"])
-    return F.struct(F.coalesce(hit, like["node_id"]).alias("node_id"), text.alias("text"), F.when(~lost, 1.0).otherwise(like["total"]).alias("similarity_score"), healed.alias("healed"), why.alias("error"))
+    first = F.get(select(dom, selector), F.lit(0))
+    like = most_like(dom, stored, weights, threshold, first["node_id"].isNull())
+
+    def told(v: Column) -> Column:
+        hit, like = v["first"]["node_id"], v["like"]
+        lost = hit.isNull()
+        healed = lost & like.isNotNull()
+        why = F.when(lost & stored.isNull(), F.lit(f"no fingerprint of {selector!r}")).when(lost & ~healed, F.lit(f"nothing is like what {selector!r} selected"))
+        text = F.when(~lost, node_text(dom, v["first"])).otherwise(like["text"])
+        return F.struct(F.coalesce(hit, like["node_id"]).alias("node_id"), text.alias("text"), F.when(~lost, 1.0).otherwise(like["total"]).alias("similarity_score"), healed.alias("healed"), why.alias("error"))
+
+    return once(F.struct(first.alias("first"), like.alias("like")), told)
 
 
 def auto_match(pages: DataFrame, fingerprints: DataFrame, selector: str, weights: Mapping[str, float] | None = None, threshold: float = THRESHOLD, url: str = "url", dom: str = "dom") -> DataFrame:

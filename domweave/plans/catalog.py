@@ -366,7 +366,7 @@ def fingerprint_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     import uuid
 
     store = heal.FingerprintStore(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
-    found = heal.capture(_parts(spark, sf_dir), ["p b"])
+    found = written(heal.capture(_parts(spark, sf_dir), ["p b"]), "fingerprints")  # or each put would parse the pages
     store.put(found)
     later = F.expr("captured_at + INTERVAL 1 MINUTE")
     store.put(found.join(_parts(spark, sf_dir).where("p_size > 25").select("url"), "url", "left_semi").select(*found.columns).withColumn("captured_at", later).withColumn("similarity_score", F.lit(0.75)))

@@ -78,6 +78,23 @@ def test_links_are_resolved_in_small_parts():
     assert sum(map(len, found)) == len(lists) and all(len(x) == 1 or sum(len(y or []) for y in x) <= 4096 for x in found)
 
 
+def test_an_element_is_looked_up_once(spark, page):
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    stored = heal.capture(page(OLD), ["u"])
+    assert plan(stored).count("tag = u)") == 1
+    # once to tell what is to be scored, and once for what is returned
+    assert plan(heal.auto_match(page(NEW), stored, "b")).count("tag = b)") == 2
+
+
+def test_fingerprints_are_shuffled_once(spark, page):
+    stored = heal.capture(page(OLD), ["div"]).unionByName(heal.capture(page(OLD, None), ["div", "span"]))
+    pages = spark.createDataFrame([(URL, 1), (None, 2), ("", 3)], "url string, k int")
+    met = heal.attach(pages, stored, ["div", "span", "div"])
+    # one for the fingerprints and one for the pages
+    assert met._jdf.queryExecution().executedPlan().toString().count("Exchange") == 2
+    assert {r.k: r["__stored"] and set(r["__stored"]) for r in met.collect()} == {1: {"div"}, 2: {"div", "span"}, 3: None}
+
+
 def test_records(page):
     df = page("<h2>R1</h2><i>$10</i><h2>R2</h2><h2> </h2>")
     fields = [Field("h", "h2"), Field("i", "i", default="x", transform=F.lower), Field("none", "u", default="D", transform=F.lower), Field("url", "i")]
