@@ -331,9 +331,10 @@ SELECT p_partkey, '$' || format('{:,.2f}', p_retailprice) AS text, 0.753333::DOU
 def auto_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The price after a redesign, found in the element around it: text 1, class 1, ancestors (0.4 + 1 + 1) / 4, attributes 1, tag 0, depth 0.5, so (2 + 1.5 + 0.9 + 1 + 0.25) / 7.5."""
     stored = written(heal.capture(_parts(spark, sf_dir), ["p b"]), "fingerprints")
-    changed = P.with_dom(redesigned_pages(spark, sf_dir)).drop("html")
-    found = heal.auto_match(changed, stored.withColumn("selector_used", F.lit("span.price")), "span.price")
-    return found.select(F.substring_index("url", "/", -1).cast("bigint").alias("p_partkey"), "text", F.round("similarity_score", 6).alias("score"), "healed")
+    # fingerprints are met before the pages are parsed
+    pages = P.with_dom(heal.attach(redesigned_pages(spark, sf_dir), stored.withColumn("selector_used", F.lit("span.price")), ["span.price"])).drop("html")
+    m = pages.select("url", heal.match(F.col("dom"), "span.price", F.col("__stored")["span.price"]).alias("m"))
+    return m.select(F.substring_index("url", "/", -1).cast("bigint").alias("p_partkey"), "m.text", F.round("m.similarity_score", 6).alias("score"), "m.healed")
 
 
 @registered("""
